@@ -1,0 +1,6 @@
+"""The audited feature set is batch only: no event time, windows or state.
+
+Temporal behaviour means validity periods and snapshots, see
+``evidencelake.operators.temporal``.  The package exists so that the layout is
+complete; it deliberately adds no operator of its own.
+"""
