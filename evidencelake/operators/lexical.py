@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.functions import sizing, text
@@ -64,36 +64,41 @@ def term_statistics(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query_text") -> DataFrame:
-    """Distinct terms per query as rows (query_id, term)."""
+def query_terms(queries: DataFrame, text_col: str = "query_text", scope_col: str | None = None) -> DataFrame:
+    """Distinct terms per query as rows (scope, query_id, term)."""
     return queries.select(
-        F.col(id_col).alias("query_id"),
+        _scope(scope_col),
+        "query_id",
         F.explode(F.array_distinct(text.tokens(F.col(text_col)))).alias("term"),
     )
 
 
-def _chunk_terms(chunks: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _scope(scope_col: str | None) -> Column:
+    """Corpus a row belongs to; one common corpus when none is named."""
+    return (F.lit(0) if scope_col is None else F.col(scope_col)).alias("scope")
+
+
+def _chunk_terms(chunks: DataFrame, vocabulary: DataFrame, scope_col: str | None, text_col: str) -> DataFrame:
     """Counts of vocabulary terms per chunk plus one length row for each chunk.
 
     The length row keeps chunks without any query term in the corpus size and
     in the average length, and lets both be read from the same exchange.
     """
-    marker = vocabulary.sparkSession.range(1).select(F.lit(_LENGTH_ROW).alias("term"))
-    wanted = vocabulary.unionByName(marker)
-    found = text.tokens(F.col(text_col))
+    found = F.col("terms") if "terms" in chunks.columns else text.tokens(F.col(text_col))
     occurrences = (
-        chunks.select(F.col(id_col).alias("chunk_id"), found.alias("terms"))
+        chunks.select(_scope(scope_col), "chunk_id", found.alias("terms"))
         .select(
+            "scope",
             "chunk_id",
             F.size("terms").alias("length"),
             F.explode(F.array_append("terms", F.lit(_LENGTH_ROW))).alias("term"),
         )
-        .where(F.col("term").isNotNull())
-        .join(wanted, "term", "left_semi")
+        .where(F.col("term").isNotNull() & F.col("scope").isNotNull())
+        .join(vocabulary, ["scope", "term"], "left_semi")
     )
     return (
-        occurrences.repartition("chunk_id")
-        .groupBy("chunk_id", "length", "term")
+        occurrences.repartition("scope", "chunk_id")
+        .groupBy("scope", "chunk_id", "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
@@ -111,52 +116,61 @@ def score(
     queries: DataFrame,
     *,
     params: Bm25 = Bm25(),
-    id_col: str = "chunk_id",
+    scope_col: str | None = None,
     text_col: str = "text",
     max_query_terms: int = sizing.DEFAULT_ROWS,
 ) -> LexicalScores:
-    """Score every (query, chunk) pair that shares a term.
+    """Score every (query, chunk) pair of one scope that shares a term.
+
+    ``chunks``: chunk_id and text (or a ready ``terms`` array); ``queries``:
+    query_id and query_text.  With ``scope_col`` both carry the corpus they
+    belong to, and corpus size, lengths and frequencies are per scope, so many
+    snapshots are searched in one job.
 
     ``pairs``: query_id, chunk_id, score, matched_terms, matched_rare_terms.
     ``query_facts``: query_id, term_count, rare_term_count.
     """
-    terms = query_terms(queries)
-    vocabulary = terms.select("term").distinct()
+    terms = query_terms(queries, scope_col=scope_col)
     small = sizing.fits(terms, max_query_terms)
-    counts = _chunk_terms(chunks, sizing.hint(vocabulary, small), id_col, text_col)
+    vocabulary = terms.select("scope", "term").unionByName(
+        terms.select("scope", F.lit(_LENGTH_ROW).alias("term"))
+    ).distinct()
+    counts = _chunk_terms(chunks, sizing.hint(vocabulary, small), scope_col, text_col)
 
+    # one row per scope that is asked and one per vocabulary term: inside the bound
     is_length = F.col("term") == F.lit(_LENGTH_ROW)
-    size = counts.agg(
+    sizes = counts.groupBy("scope").agg(
         F.sum(F.when(is_length, 1)).alias("n"),
         (F.sum(F.when(is_length, F.col("length").cast("double")))
          / F.sum(F.when(is_length, 1))).alias("average"),
     )
-    n = size.select("n").scalar()
-    average = size.select("average").scalar()
-    # at most one row per vocabulary term, hence inside the proven bound
-    frequency = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = counts.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = (
-        frequency.join(sizing.hint(terms, small), "term")
+        frequency.join(sizing.hint(terms, small), ["scope", "term"])
+        .join(sizing.hint(sizes, small), "scope")
         .select(
+            "scope",
             "query_id",
             "term",
-            F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-            (F.col("df") <= F.greatest(F.lit(1), F.ceil(n * params.rare_ratio))).alias("rare"),
+            "average",
+            F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
+            (F.col("df") <= F.greatest(F.lit(1), F.ceil(F.col("n") * params.rare_ratio))).alias("rare"),
         )
     )
-    ratio = F.when(average > 0, F.col("length") / average).otherwise(F.lit(0.0))
+    ratio = F.when(F.col("average") > 0, F.col("length") / F.col("average")).otherwise(F.lit(0.0))
     weight = F.col("idf") * (
         F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * ratio))
     )
     pairs = (
-        counts.join(sizing.hint(weights, small), "term")
-        .groupBy("query_id", "chunk_id")
+        counts.join(sizing.hint(weights, small), ["scope", "term"])
+        .groupBy("scope", "query_id", "chunk_id")
         .agg(
             F.round(F.sum(weight), SCORE_DIGITS).alias("score"),
             F.count(F.lit(1)).cast("bigint").alias("matched_terms"),
             F.count_if("rare").cast("bigint").alias("matched_rare_terms"),
         )
         .where(F.col("score") > 0)
+        .drop("scope")
     )
     rare = weights.groupBy("query_id").agg(F.count_if("rare").cast("bigint").alias("rare_term_count"))
     facts = (
@@ -186,11 +200,11 @@ def search(
     k: int = 5,
     min_score: float = 0.0,
     params: Bm25 = Bm25(),
-    id_col: str = "chunk_id",
+    scope_col: str | None = None,
     text_col: str = "text",
 ) -> DataFrame:
     """Ranked chunks per query: query_id, chunk_id, score, rank and match counts."""
     if min_score < 0:
         raise ValueError("min_score cannot be negative")
-    scored = score(chunks, queries, params=params, id_col=id_col, text_col=text_col)
+    scored = score(chunks, queries, params=params, scope_col=scope_col, text_col=text_col)
     return top_k(scored.pairs, k, min_score=min_score)

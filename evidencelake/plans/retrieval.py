@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.functions import sizing, text
-from evidencelake.operators import confidence, lexical
+from evidencelake.functions import hashing, sizing, text
+from evidencelake.operators import confidence, fusion, lexical, vectors
 from evidencelake.plans import inputs
 from evidencelake.plans.registry import query
 
@@ -128,3 +128,184 @@ def label_text_key(spark: SparkSession, folder: str) -> DataFrame:
     return documents.groupBy(text.label_text(F.col("text")).alias("label")).agg(
         F.count(F.lit(1)).cast("bigint").alias("documents")
     )
+
+
+# --- dense, hybrid and reranked retrieval ---
+# Vector ``i`` stands for document ``i`` and for question ``i``.
+
+
+def label_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """One unit query vector per label: the mean of all its vectors."""
+    table = inputs.table(spark, folder, "embeddings")
+    return vectors.window_mean(table, "label", "embedding").select(
+        F.col("label").cast("bigint").alias("query_id"), "embedding"
+    )
+
+
+def passages(spark: SparkSession, folder: str) -> DataFrame:
+    return inputs.table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+def question_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    asked = inputs.questions(spark, folder).select("query_id")
+    return passages(spark, folder).withColumnRenamed("chunk_id", "query_id").join(asked, "query_id", "left_semi")
+
+
+LABEL_MEAN_SQL = """
+cells AS (SELECT label, pos, avg(v::DOUBLE) AS mean FROM (
+  SELECT label, unnest(range(1, len(embedding) + 1)) AS pos, unnest(embedding) AS v FROM embeddings) GROUP BY ALL),
+norms AS (SELECT label, sqrt(sum(mean * mean)) AS norm FROM cells GROUP BY label),
+centroid AS (SELECT label, pos, mean / norm AS value FROM cells JOIN norms USING (label))"""
+
+DENSE_SQL = f"""{LABEL_MEAN_SQL},
+cvec AS (SELECT label, list(value ORDER BY pos) AS vec FROM centroid GROUP BY label),
+dscored AS (SELECT cvec.label::BIGINT AS query_id, vec_id AS chunk_id,
+  round(list_dot_product(vec, embedding::DOUBLE[]), 9) AS score FROM cvec, embeddings),
+dranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+  FROM dscored WHERE score >= 0)"""
+
+
+@query(
+    "window_mean_embedding",
+    f"WITH {LABEL_MEAN_SQL} SELECT label, pos AS position, round(value, 6) AS value FROM centroid",
+)
+def window_mean_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    means = vectors.window_mean(inputs.table(spark, folder, "embeddings"), "label", "embedding")
+    return means.select("label", F.posexplode("embedding").alias("p", "v")).select(
+        "label", (F.col("p") + 1).cast("bigint").alias("position"), F.round("v", 6).alias("value")
+    )
+
+
+@query(
+    "dense_topk",
+    f"WITH {DENSE_SQL} SELECT query_id, chunk_id, score, rank FROM dranked WHERE rank <= 10",
+)
+def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
+    hits = vectors.cosine_top_k(passages(spark, folder), label_queries(spark, folder), 10)
+    return hits.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    "vector_contract",
+    """SELECT count(*) AS vectors, sum(CASE WHEN len(embedding) <> w OR len(embedding) = 0 THEN 1 ELSE 0 END)::BIGINT AS invalid
+       FROM embeddings, (SELECT max(len(embedding)) AS w FROM embeddings)""",
+)
+def vector_contract(spark: SparkSession, folder: str) -> DataFrame:
+    table = inputs.table(spark, folder, "embeddings")
+    bad = vectors.invalid_vectors(table).agg(F.count(F.lit(1)).alias("invalid")).select("invalid").scalar()
+    return table.agg(F.count(F.lit(1)).alias("vectors")).select("vectors", bad.alias("invalid"))
+
+
+HYBRID_SQL = """
+corpus AS (SELECT d.doc_id, d.text, d.source, e.embedding::DOUBLE[] AS vec
+           FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+asked AS (SELECT b.item_id, b.text, e.embedding::DOUBLE[] AS vec
+          FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"""
+
+
+def hybrid_sql() -> str:
+    """Lexical, dense, fused and reranked lists over documents with vectors."""
+    lexical_part = inputs.bm25_sql().replace("FROM documents", "FROM corpus").replace(
+        "JOIN documents", "JOIN corpus"
+    ).replace("FROM benchmark", "FROM asked")
+    return f"""{HYBRID_SQL}, {lexical_part},
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT a.item_id AS query_id, c.doc_id AS chunk_id, round(list_dot_product(a.vec, c.vec), 9) AS score
+  FROM asked a, corpus c) WHERE score >= 0),
+shares AS (SELECT query_id, chunk_id, 1.0 / (60 + rank) AS share FROM ranked WHERE rank <= 20
+  UNION ALL SELECT query_id, chunk_id, 1.0 / (60 + rank) FROM dense WHERE rank <= 20),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT query_id, chunk_id, round(sum(share), 9) AS score FROM shares GROUP BY ALL)),
+cand AS (SELECT r.query_id, r.chunk_id, r.rank, row_number() OVER (PARTITION BY r.query_id
+    ORDER BY round(list_dot_product(a.vec, c.vec), 9) DESC, r.chunk_id) AS srank
+  FROM ranked r JOIN asked a ON a.item_id = r.query_id JOIN corpus c ON c.doc_id = r.chunk_id WHERE r.rank <= 20),
+reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT query_id, chunk_id, round(1.0 / (60 + rank) + 1.0 / (60 + srank), 9) AS score FROM cand))"""
+
+
+def hybrid_lists(spark: SparkSession, folder: str, k: int = TOP_K) -> dict[str, DataFrame]:
+    """The four retrievers over documents that have a vector."""
+    held = passages(spark, folder)
+    corpus = inputs.chunks(spark, folder).join(held.select("chunk_id"), "chunk_id", "left_semi")
+    asked_vectors = question_vectors(spark, folder)
+    asked = inputs.questions(spark, folder).join(asked_vectors.select("query_id"), "query_id", "left_semi")
+    corpus_vectors = held.join(corpus.select("chunk_id"), "chunk_id", "left_semi")
+    deep = fusion.depth(k)
+    lexical_list = lexical.search(corpus, asked, k=deep)
+    dense_list = vectors.cosine_top_k(corpus_vectors, asked_vectors, deep)
+    small = sizing.fits(asked, sizing.DEFAULT_ROWS // deep)
+    candidates = (
+        held.join(sizing.hint(lexical_list.select("query_id", "chunk_id", "rank"), small), "chunk_id")
+        .join(sizing.hint(asked_vectors.withColumnRenamed("embedding", "asked"), small), "query_id")
+        .select(
+            "query_id",
+            "chunk_id",
+            "rank",
+            F.round(vectors.dot(F.col("asked"), F.col("embedding")), lexical.SCORE_DIGITS).alias("similarity"),
+        )
+    )
+    return {
+        "bm25": lexical_list.where(F.col("rank") <= k),
+        "dense": dense_list.where(F.col("rank") <= k),
+        "hybrid": fusion.reciprocal_rank([(lexical_list, 1.0), (dense_list, 1.0)], k),
+        "rerank": fusion.rerank(candidates, k),
+    }
+
+
+@query(
+    "rrf_fusion",
+    f"WITH {hybrid_sql()} SELECT query_id, chunk_id, score, rank FROM fused WHERE rank <= 5",
+)
+def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    fused = hybrid_lists(spark, folder)["hybrid"]
+    return fused.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    "semantic_rerank",
+    f"WITH {hybrid_sql()} SELECT query_id, chunk_id, score, rank FROM reranked WHERE rank <= 5",
+)
+def semantic_rerank(spark: SparkSession, folder: str) -> DataFrame:
+    ranked = hybrid_lists(spark, folder)["rerank"]
+    return ranked.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    "token_windows",
+    f"""WITH t AS (SELECT doc_id, {inputs.TOKENS_SQL.format('text')} AS toks FROM documents),
+    w AS (SELECT doc_id, toks, unnest(range(0, greatest(len(toks) - 64 - 1, 0)::BIGINT + 1, 448)) AS start FROM t)
+    SELECT doc_id, start, len(toks[start + 1 : start + 512]) AS size,
+      coalesce(toks[start + 1], '') AS first_token, coalesce(toks[least(start + 512, len(toks))], '') AS last_token FROM w""",
+)
+def token_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping windows of 512 tokens, 64 shared, over every whole text."""
+    tokens = lexical.tokenize(inputs.table(spark, folder, "documents")).select("doc_id", "terms")
+    windows = tokens.select("doc_id", F.posexplode(vectors.token_windows(F.col("terms"), 512, 64)).alias("n", "w"))
+    return windows.select(
+        "doc_id",
+        (F.col("n") * 448).cast("bigint").alias("start"),
+        F.size("w").cast("bigint").alias("size"),
+        F.coalesce(F.try_element_at("w", F.lit(1)), F.lit("")).alias("first_token"),
+        F.coalesce(F.try_element_at("w", F.lit(-1)), F.lit("")).alias("last_token"),
+    )
+
+
+@query(
+    "embedding_cache_plan",
+    """WITH cache AS (
+      SELECT d.doc_id AS chunk_id, CASE WHEN l.quality = 1 THEN sha256(d.text) ELSE sha256('old ' || d.text) END AS h
+      FROM documents d JOIN labels l USING (doc_id))
+    SELECT d.doc_id AS chunk_id, CASE WHEN h IS NULL THEN 'miss' WHEN h <> sha256(d.text) THEN 'stale' ELSE 'hit' END AS state
+    FROM documents d LEFT JOIN cache c ON c.chunk_id = d.doc_id""",
+)
+def embedding_cache_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents are cached, those of low quality with outdated text."""
+    corpus = inputs.chunks(spark, folder)
+    labels = inputs.table(spark, folder, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
+    cache = corpus.join(labels, "chunk_id").select(
+        "chunk_id",
+        hashing.text_digest(
+            F.when(F.col("quality") == 1, F.col("text")).otherwise(F.concat(F.lit("old "), F.col("text")))
+        ).alias("text_sha256"),
+    )
+    return vectors.cache_plan(corpus, cache)
