@@ -40,3 +40,28 @@ def canonical_hash(payload: object) -> str:
     """Digest of one small artifact: sorted keys, compact, non-ASCII kept."""
     rendered = json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
     return hashlib.sha256(rendered.encode()).hexdigest()
+
+
+SLICES = 4
+
+
+def set_digest(row_digest: Column) -> Column:
+    """Aggregate: identity of a set of rows, independent of their order.
+
+    Slices of the row digests are combined by exclusive or together with the
+    row count; both are partial aggregates, so a set of any size is identified
+    without gathering it.
+    """
+    parts = [
+        F.bit_xor(F.conv(F.substring(row_digest, 1 + 15 * i, 15), 16, 10).cast("bigint")).cast("string")
+        for i in range(SLICES)
+    ]
+    return F.sha2(F.concat_ws("-", F.count(row_digest).cast("string"), *parts), 256)
+
+
+def set_digest_sql(row_digest: str) -> str:
+    """The same aggregate for the SQL side."""
+    parts = " || '-' || ".join(
+        f"bit_xor(('0x' || substr({row_digest}, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(SLICES)
+    )
+    return f"sha256(count({row_digest})::VARCHAR || '-' || {parts})"

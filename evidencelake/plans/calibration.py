@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidencelake.functions import hashing
 from evidencelake.operators import calibration, confidence, metrics
 from evidencelake.plans import inputs, measurement, retrieval
 from evidencelake.plans.registry import query
@@ -178,7 +179,11 @@ def split_drift_check(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("reason").agg(F.count(F.lit(1)).cast("bigint").alias("cases"))
 
 
-@query("split_fingerprint")
+@query(
+    "split_fingerprint",
+    f"""WITH {SPLIT_SQL}, h AS (SELECT sha256(doc_id || chr(0) || answerability) AS h FROM cases0)
+    SELECT count(*) AS case_count, {hashing.set_digest_sql('h')} AS fingerprint FROM h""",
+)
 def split_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint that detects any change of an id or label."""
     return calibration.label_fingerprint(review_cases(spark, folder), "doc_id", "answerability")
