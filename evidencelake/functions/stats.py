@@ -1,9 +1,9 @@
 """Exact order statistics without a single-task sort.
 
 Values are first merged to distinct ones, so a value shared by a third of all
-rows is a single row.  The distinct values are spread over buckets cut at
-approximate quantiles; windows run per bucket and the few bucket totals supply
-the offsets.  The cuts only balance the work, they never change the result.
+rows is a single row.  Distinct values are spread over order-preserving buckets
+computed from the value itself; windows run per bucket and the bucket totals
+supply the offsets.  Buckets only balance the work, they never change a result.
 """
 
 from __future__ import annotations
@@ -11,7 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+RESOLUTION = 256
+
+
+def _bucket(value: Column) -> Column:
+    """Monotone bucket: a fixed number of steps per factor of e.
+
+    At most some ten thousand buckets cover the whole double range that scores
+    and lengths use.
+    """
+    steps = F.floor(F.log1p(F.abs(value)) * RESOLUTION).cast("int")
+    return F.when(value < 0, -steps).otherwise(steps)
 
 
 def histogram(df: DataFrame, value: str, weights: dict[str, Column], by: list[str] | None = None) -> DataFrame:
@@ -21,23 +31,16 @@ def histogram(df: DataFrame, value: str, weights: dict[str, Column], by: list[st
     )
 
 
-def cumulate(
-    hist: DataFrame, value: str, names: list[str], by: list[str] | None = None, *, buckets: int = BUCKETS
-) -> DataFrame:
+def cumulate(hist: DataFrame, value: str, names: list[str], by: list[str] | None = None) -> DataFrame:
     """Add ``<name>_through`` (running sum up to the value) and ``<name>_total``."""
     by = by or []
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(hist.approxQuantile(value, steps, 1.0 / (4 * buckets)))) if buckets > 1 else []
-    edges = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else None
-    bucket = F.lit(0) if edges is None else F.size(F.filter(edges, lambda e: e < F.col(value)))
-    spread = hist.withColumn("bucket", bucket)
+    spread = hist.withColumn("bucket", _bucket(F.col(value)))
     within = Window.partitionBy(*by, "bucket").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     local = spread.select(
         *hist.columns, "bucket", *[F.sum(n).over(within).alias(f"{n}_local") for n in names]
     )
-    # at most BUCKETS rows per group
     totals = spread.groupBy(*by, "bucket").agg(*[F.sum(n).alias(f"{n}_sum") for n in names])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +72,7 @@ def distribution(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     )
 
 
-def nearest_rank(runs: DataFrame, value: str, fraction: float) -> Column:
+def nearest_rank(value: str, fraction: float) -> Column:
     """Aggregate: the value at rank ``ceil(n * fraction)`` of a cumulated histogram."""
     reached = F.col("n_through") >= F.greatest(F.lit(1), F.ceil(F.round(F.col("n_total") * fraction, 6)))
     return F.min(F.when(reached, F.col(value)))

@@ -31,7 +31,7 @@ def length_profile(rows: DataFrame, length: str, by: str, fractions: dict[str, f
         F.sum(F.col("size") * F.col("n")).cast("bigint").alias("total"),
         F.min("size").cast("bigint").alias("min"),
         F.round(F.sum(F.col("size") * F.col("n")) / F.sum("n"), 2).alias("mean"),
-        *[stats.nearest_rank(runs, "size", f).cast("bigint").alias(n) for n, f in fractions.items()],
+        *[stats.nearest_rank("size", f).cast("bigint").alias(n) for n, f in fractions.items()],
         F.max("size").cast("bigint").alias("max"),
         *extra,
     )
