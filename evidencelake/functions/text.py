@@ -9,7 +9,7 @@ stays inside the JVM.
 from __future__ import annotations
 
 import functools
-import sys
+import itertools
 import unicodedata
 
 import pandas as pd
@@ -29,6 +29,15 @@ VERIFIER_STOP_WORDS = (
 )
 
 
+# Blocks outside (Han, Hangul, private use) never fold to ASCII or to nothing.
+_FOLDING_RANGES = (
+    range(0x0000, 0x3400),
+    range(0xA000, 0xAC00),
+    range(0xF900, 0x10000),
+    range(0x10000, 0x20000),
+)
+
+
 def python_fold(text: str, *, casefold: bool = True) -> str:
     """Reference definition of the fold for one string."""
     value = text.casefold() if casefold else text
@@ -43,9 +52,7 @@ def python_fold(text: str, *, casefold: bool = True) -> str:
 def _translate_table(casefold: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Split the fold into 1:1 replacements, deletions and expansions."""
     singles_from, singles_to, deleted, expansions = [], [], [], []
-    for code in range(sys.maxunicode + 1):
-        if 0xD800 <= code <= 0xDFFF or 0xAC00 <= code <= 0xD7A3:
-            continue  # surrogates and Hangul never yield ASCII letters
+    for code in itertools.chain(*_FOLDING_RANGES):
         char = chr(code)
         folded = python_fold(char, casefold=casefold)
         if folded == char:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.functions import text
@@ -70,15 +70,18 @@ def execute(steps: DataFrame, corpus: DataFrame, threshold: float, k: int) -> tu
         F.col("query").alias("query_text"),
         F.coalesce(F.col("reference_date").cast("string"), F.lit(COMPARISON_SCOPE)).alias("corpus"),
     )
-    ranked = lexical.search(corpus, asked, k=k, scope_col="corpus").withColumnRenamed("query_id", "step_key")
-    top = ranked.where((F.col("rank") == 1) & (F.col("score") >= threshold)).select("step_key")
-    keyed = steps.withColumn("step_key", key)
-    states = keyed.join(top.withColumn("ready", F.lit(True)), "step_key", "left").withColumn(
-        "ready", F.coalesce("ready", F.lit(False))
-    )
-    evidence = states.where("ready").select("query_id", "step_id", "position", "step_key").join(
-        ranked.select("step_key", "rank", "chunk_id", "score"), "step_key"
+    ranked = lexical.search(corpus, asked, k=k, scope_col="corpus")
+    # same partitioning as the ranking itself; both results below share one exchange
+    whole_step = Window.partitionBy("query_id")
+    accepted = (
+        ranked.withColumn("top_score", F.max("score").over(whole_step))
+        .where(F.col("top_score") >= threshold)
+        .select(F.col("query_id").alias("step_key"), "rank", "chunk_id", "score")
     )
+    keyed = steps.withColumn("step_key", key)
+    ready = accepted.groupBy("step_key").agg(F.lit(True).alias("ready"))
+    states = keyed.join(ready, "step_key", "left").withColumn("ready", F.coalesce("ready", F.lit(False)))
+    evidence = keyed.select("query_id", "step_id", "position", "step_key").join(accepted, "step_key")
     return evidence.drop("step_key"), states.drop("step_key")
 
 

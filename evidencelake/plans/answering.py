@@ -9,6 +9,7 @@ from evidencelake.functions import text
 from evidencelake.operators import answers, context, evidence, lexical, metrics, temporal, understanding
 from evidencelake.plans import inputs
 from evidencelake.plans.registry import query
+from evidencelake.session import ensure_checkpoint_dir
 
 STEP_K = 3
 STEP_THRESHOLD = 10.0
@@ -38,7 +39,11 @@ def planned_questions(spark: SparkSession, folder: str) -> DataFrame:
 
 def execution(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Planned queries, evidence rows, step states and query statuses."""
-    planned = planned_questions(spark, folder)
+    # plans are asked for many times below: keep them as a small stored table
+    ensure_checkpoint_dir(spark)
+    planned = planned_questions(spark, folder).select(
+        "query_id", "query", "plan_status", "strategy", "steps"
+    ).checkpoint()
     steps = understanding.plan_steps(planned, "query_id")
     dates = steps.where(F.col("reference_date").isNotNull()).select("reference_date").distinct()
     entries = inputs.catalog(spark, folder).where(F.col("review_status") == "reviewed")
