@@ -16,3 +16,19 @@ def fits(df: DataFrame, max_rows: int = DEFAULT_ROWS) -> bool:
 def hint(df: DataFrame, proven: bool) -> DataFrame:
     """Broadcast only what a check has proven small; otherwise leave it to AQE."""
     return F.broadcast(df) if proven else df
+
+
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash a small scan over all cores before expensive per-row work.
+
+    A table of a few row groups would keep most cores idle.  The check reads the
+    optimizer's size estimate; anything above ``SPREAD_BYTES`` already has
+    enough splits and is never shuffled for this.
+    """
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if estimate > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

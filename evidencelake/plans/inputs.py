@@ -9,14 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.functions import hashing
+from evidencelake.functions import hashing, sizing
 
 FOLD_SQL = "strip_accents(replace(lower({0}), 'ß', 'ss'))"
 TOKENS_SQL = "regexp_extract_all(strip_accents(replace(lower({0}), 'ß', 'ss')), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
 
 
+# tables whose rows carry texts or are turned into texts, with their keys
+_TEXT_KEYS = {
+    "documents": ["doc_id"],
+    "pages": ["page_id"],
+    "conversations": ["conv_id", "turn"],
+    "orders": ["o_orderkey"],
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    keys = _TEXT_KEYS.get(name)
+    return sizing.spread(rows, *keys) if keys else rows
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
