@@ -87,11 +87,9 @@ def _chunk_terms(chunks: DataFrame, vocabulary: DataFrame, scope_col: str | None
     found = F.col("terms") if "terms" in chunks.columns else text.tokens(F.col(text_col))
     occurrences = (
         chunks.select(_scope(scope_col), "chunk_id", found.alias("terms"))
+        .withColumn("length", F.size("terms"))
         .select(
-            "scope",
-            "chunk_id",
-            F.size("terms").alias("length"),
-            F.explode(F.array_append("terms", F.lit(_LENGTH_ROW))).alias("term"),
+            "scope", "chunk_id", "length", F.explode(F.array_append("terms", F.lit(_LENGTH_ROW))).alias("term")
         )
         .where(F.col("term").isNotNull() & F.col("scope").isNotNull())
         .join(vocabulary, ["scope", "term"], "left_semi")
