@@ -11,9 +11,11 @@ from evidencelake.operators import catalog
 def read_binary(spark: SparkSession, root: str) -> DataFrame:
     """Supported files below a root with content, path relative to the root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = F.lit(root.rstrip("/") + "/")
+    prefix = root.rstrip("/") + "/"
     path = F.regexp_replace("path", "^file:/+", "/")
-    relative = F.when(F.contains(path, prefix), F.substring_index(path, prefix, -1)).otherwise(path)
+    relative = F.when(
+        path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))
+    ).otherwise(path)
     return files.select(
         relative.alias("relative_path"),
         F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension"),
