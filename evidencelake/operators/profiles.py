@@ -14,9 +14,11 @@ def length_profile(rows: DataFrame, length: str, by: str, fractions: dict[str, f
     Everything is read from the histogram of (group, length); the overall row
     comes from the same histogram, not from a second pass over the rows.
     """
-    hist = rows.groupBy(by, length).agg(F.count(F.lit(1)).alias("n"))
+    hist = rows.select(F.col(by).alias("group"), F.col(length).cast("double").alias("size")).groupBy(
+        "group", "size"
+    ).agg(F.count(F.lit(1)).alias("n"))
     both = hist.select(
-        F.explode(F.array(F.col(by), F.lit("all"))).alias("name"), F.col(length).cast("double").alias("size"), "n"
+        F.explode(F.array(F.col("group"), F.lit("all"))).alias("name"), "size", "n"
     ).groupBy("name", "size").agg(F.sum("n").alias("n"))
     runs = stats.cumulate(both, "size", ["n"], ["name"])
     extra = []
