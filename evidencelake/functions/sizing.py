@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_ROWS = 500_000
@@ -19,16 +19,25 @@ def hint(df: DataFrame, proven: bool) -> DataFrame:
 
 
 SPREAD_BYTES = 1 << 30
+_FILE_BYTES: dict[str, int] = {}
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a small scan over all cores before expensive per-row work.
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files below a path, from their listing alone."""
+    if path not in _FILE_BYTES:
+        row = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first()
+        _FILE_BYTES[path] = row.n or 0
+    return _FILE_BYTES[path]
 
-    A table of a few row groups would keep most cores idle.  The check reads the
-    optimizer's size estimate; anything above ``SPREAD_BYTES`` already has
-    enough splits and is never shuffled for this.
+
+def read_spread(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Read a parquet table; a small one is hashed over all cores.
+
+    A table of a few row groups would keep most cores idle during expensive
+    per-row work.  Anything above ``SPREAD_BYTES`` has enough splits of its own
+    and is never shuffled for this.
     """
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if estimate > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    rows = spark.read.parquet(path)
+    if file_bytes(spark, path) > SPREAD_BYTES:
+        return rows
+    return rows.repartition(spark.sparkContext.defaultParallelism, *keys)

@@ -195,3 +195,28 @@ def stability(attempts: DataFrame, case: str, fingerprint: Column) -> DataFrame:
         F.count(F.lit(1)).cast("bigint").alias("attempt_count"),
         (F.min(fingerprint) == F.max(fingerprint)).alias("stable"),
     )
+
+
+def chain_recovery(rows: DataFrame) -> DataFrame:
+    """Complete-chain rates of lexical retrieval and of the graph.
+
+    ``rows``: expected_chain, lexical_chunks, graph_chunks (arrays), status,
+    expected_status.  Lexical retrieval must contain the chain, the graph must
+    return it in order; controls expect no chain.
+    """
+    chained = F.size("expected_chain") > 0
+    lexical = F.size(F.array_except("expected_chain", "lexical_chunks")) == 0
+    ordered = F.col("graph_chunks") == F.col("expected_chain")
+    same = F.col("status") == F.col("expected_status")
+    return rows.agg(
+        F.count(F.lit(1)).cast("bigint").alias("case_count"),
+        F.round(share(F.when(chained, lexical)), 6).alias("lexical_complete_chain_rate"),
+        F.round(share(F.when(chained, ordered)), 6).alias("graph_complete_chain_rate"),
+        F.round(share(F.when(~chained, same)), 6).alias("control_exact_match"),
+        F.round(share(same & ordered), 6).alias("exact_match"),
+    )
+
+
+def gap(expected_chain: Column, lexical_complete: Column, rule_applied: Column, plan_ready: Column) -> Column:
+    """Whether a chain question is left unanswered by every simpler method."""
+    return expected_chain & ~(lexical_complete | rule_applied | plan_ready)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.functions import text
-from evidencelake.operators import answers, context, evidence, lexical, metrics, temporal, understanding
+from evidencelake.functions import sizing, text
+from evidencelake.operators import answers, confidence, context, evidence, lexical, metrics, temporal, understanding
 from evidencelake.plans import inputs
 from evidencelake.plans.registry import query
 from evidencelake.session import ensure_checkpoint_dir
@@ -523,3 +523,129 @@ def verifier_release_rates(spark: SparkSession, folder: str) -> DataFrame:
         F.round(metrics.share(F.when(~safe, ~released)), 6).alias("unsafe_block_rate"),
         F.round(metrics.share(F.when(safe, released)), 6).alias("safe_release_rate"),
     )
+
+
+# --- routed retrieval, direct requests, step accuracy ---
+
+ROUTED_SQL = f"""WITH {inputs.bm25_sql()}, {inputs.SIGNALS_SQL},
+asks AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'requires_decomposition' WHEN 1 THEN 'requires_external_data' ELSE 'direct_retrieval' END AS route FROM benchmark)"""
+
+
+def routed_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark texts as comparisons, as price questions or as they are."""
+    kind = F.col("item_id") % 3
+    phrase = (
+        F.when(kind == 0, F.concat(F.lit("Compare "), "text"))
+        .when(kind == 1, F.concat(F.lit("Cotação atual: "), "text"))
+        .otherwise(F.col("text"))
+    )
+    rows = inputs.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), phrase.alias("query"))
+    return understanding.analyze(rows).select("query_id", "route")
+
+
+@query(
+    "routed_retrieval",
+    f"""{ROUTED_SQL} SELECT a.query_id, a.route, CASE WHEN a.route <> 'direct_retrieval' THEN 'not_retrieved'
+      WHEN s.result_count > 0 AND s.top_score >= 12.0 THEN 'ready' ELSE 'insufficient_evidence' END AS status,
+      CASE WHEN a.route = 'direct_retrieval' AND s.top_score >= 12.0 THEN s.result_count ELSE 0 END AS evidence_count
+    FROM asks a JOIN signals s USING (query_id)""",
+)
+def routed_retrieval(spark: SparkSession, folder: str) -> DataFrame:
+    """Only direct questions reach the retriever; the others never shuffle."""
+    routed = routed_questions(spark, folder)
+    direct = routed.where(F.col("route") == "direct_retrieval").select("query_id")
+    asked = inputs.questions(spark, folder).join(direct, "query_id", "left_semi")
+    corpus = inputs.chunks(spark, folder)
+    scored = lexical.score(corpus, asked)
+    ranked = lexical.top_k(scored.pairs, 5)
+    small = sizing.fits(asked, sizing.DEFAULT_ROWS // 5)
+    placed = confidence.attach(ranked, corpus, proven_small=small, columns=["document_id"])
+    decided = confidence.gate(confidence.signals(placed, scored.query_facts), 12.0)
+    ready = F.col("status") == "ready"
+    return routed.join(decided, "query_id", "left").select(
+        "query_id",
+        "route",
+        F.coalesce("status", F.lit("not_retrieved")).alias("status"),
+        F.when(ready, F.col("result_count")).otherwise(0).cast("bigint").alias("evidence_count"),
+    )
+
+
+@query(
+    "grounded_request",
+    f"""{ROUTED_SQL}, body AS (SELECT t.query_id, string_agg('{{"document_id": ' || to_json(d.source) || ', "evidence_id": "' || d.doc_id || '", "page": null, "section": ' || to_json(d.lang)
+      || ', "text": ' || to_json(d.text) || '}}', ', ' ORDER BY t.rank) AS e FROM top t JOIN documents d ON d.doc_id = t.chunk_id GROUP BY t.query_id)
+    SELECT b.item_id AS query_id, sha256('{{"evidence": [' || e || '], "question": ' || to_json(b.text) || '}}') AS request_sha256
+    FROM benchmark b JOIN body ON body.query_id = b.item_id JOIN signals s ON s.query_id = b.item_id WHERE s.top_score >= 12.0""",
+)
+def grounded_request(spark: SparkSession, folder: str) -> DataFrame:
+    """Digest of the request built for every accepted question."""
+    asked = inputs.questions(spark, folder)
+    corpus = inputs.chunks(spark, folder)
+    ranked = lexical.search(corpus, asked, k=5)
+    small = sizing.fits(asked, sizing.DEFAULT_ROWS // 5)
+    placed = confidence.attach(ranked, corpus, proven_small=small, columns=["document_id", "section", "text"])
+    # at most five passages per question
+    packed = placed.groupBy("query_id").agg(
+        F.max("score").alias("top_score"),
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    "rank", F.col("chunk_id").cast("string").alias("item_id"), "document_id",
+                    F.lit(None).cast("int").alias("page"), "section", "text",
+                )
+            )
+        ).alias("passages"),
+    )
+    body = context.grounded_input(F.col("query_text"), F.col("passages"))
+    return packed.where(F.col("top_score") >= 12.0).join(asked, "query_id").select(
+        "query_id", F.sha2(F.encode(body, "utf-8"), 256).alias("request_sha256")
+    )
+
+
+@query(
+    "decomposition_step_accuracy",
+    f"""WITH {EXECUTION_SQL}, o AS (SELECT s.query_id, s.step_id, s.corpus <> 'comparison' AS temporal, coalesce(f.chunk_id % 2 = s.query_id % 2, false) AS correct
+      FROM steps s LEFT JOIN found f ON f.query_id = s.query_id AND f.step_id = s.step_id AND f.rank = 1)
+    SELECT count(*) AS step_count, round(avg(correct::INT), 6) AS step_document_accuracy, round(avg(CASE WHEN temporal THEN correct::INT END), 6) AS temporal_step_document_accuracy FROM o""",
+)
+def decomposition_step_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """First document of each step against an expected parity."""
+    _, found, states, _ = execution(spark, folder)
+    first = found.where(F.col("rank") == 1).select("query_id", "step_id", "chunk_id")
+    correct = F.coalesce(F.col("chunk_id") % 2 == F.col("query_id") % 2, F.lit(False))
+    rows = states.join(first, ["query_id", "step_id"], "left")
+    return rows.agg(
+        F.count(F.lit(1)).cast("bigint").alias("step_count"),
+        F.round(metrics.share(correct), 6).alias("step_document_accuracy"),
+        F.round(metrics.share(F.when(F.col("reference_date").isNotNull(), correct)), 6).alias(
+            "temporal_step_document_accuracy"
+        ),
+    )
+
+
+@query(
+    "single_response_validation",
+    """WITH r AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN '{"status":"answered","answer":"' || p_name || '","evidence_ids":["' || p_brand || '"]}'
+        WHEN 1 THEN '{"status":"answered","answer":"' || p_name || '","evidence_ids":["' || p_type || '"]}' WHEN 2 THEN '{"status":"answered","answer":" ","evidence_ids":["' || p_brand || '"]}'
+        WHEN 3 THEN '{"status":"insufficient_evidence","answer":"","evidence_ids":[]}' WHEN 4 THEN '{"status":"insufficient_evidence","answer":"' || p_name || '","evidence_ids":[]}'
+        ELSE '{"status":"' || p_type || '"' END AS response FROM part)
+    SELECT k, CASE k % 6 WHEN 1 THEN 'foreign_citation' WHEN 2 THEN 'unsupported_answer' WHEN 4 THEN 'refusal_with_content' WHEN 5 THEN 'unsupported_status' ELSE '' END AS problem FROM r""",
+)
+def single_response_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """One response per part; the brand is the only citable passage."""
+    kind = F.col("p_partkey") % 6
+    quoted = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    name, brand, part_type = F.col("p_name"), F.col("p_brand"), F.col("p_type")
+    response = (
+        F.when(kind == 0, quoted('{"status":"answered","answer":"', name, '","evidence_ids":["', brand, '"]}'))
+        .when(kind == 1, quoted('{"status":"answered","answer":"', name, '","evidence_ids":["', part_type, '"]}'))
+        .when(kind == 2, quoted('{"status":"answered","answer":" ","evidence_ids":["', brand, '"]}'))
+        .when(kind == 3, F.lit('{"status":"insufficient_evidence","answer":"","evidence_ids":[]}'))
+        .when(kind == 4, quoted('{"status":"insufficient_evidence","answer":"', name, '","evidence_ids":[]}'))
+        .otherwise(quoted('{"status":"', part_type, '"'))
+    )
+    rows = inputs.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("k"), "p_brand", answers.parse(response, answers.SINGLE_RESPONSE).alias("answer")
+    )
+    problem = answers.single_problem(F.col("answer"), F.array("p_brand"), F.lit(True))
+    return rows.select("k", F.coalesce(problem, F.lit("")).alias("problem"))

@@ -376,3 +376,35 @@ def label_mapping_exactly_one(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     return review.map_labels(candidates, review.label_index(named)).na.fill("", ["document_id"])
+
+
+@query(
+    "processing_summary",
+    f"""{WITH_CATALOG}, s AS (SELECT CASE WHEN review_status <> 'reviewed' THEN 'not_reviewed' WHEN effective_from IS NULL OR date '{DAY}' < effective_from THEN 'not_yet_effective'
+      WHEN effective_until IS NOT NULL AND date '{DAY}' > effective_until THEN 'expired' WHEN size_bytes % 13 = 0 THEN 'error' WHEN size_bytes < 100 THEN 'empty' ELSE 'processed' END AS status FROM catalog)
+    SELECT status, count(*) AS documents FROM s GROUP BY status""",
+)
+def processing_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcome counts of one snapshot run; some files fail, short ones are empty."""
+    entries = inputs.catalog(spark, folder)
+    counts = entries.where(F.col("size_bytes") % 13 != 0).select(
+        "document_id", F.when(F.col("size_bytes") < 100, 0).otherwise(1).alias("chunk_count")
+    )
+    return catalog.processing_summary(entries, counts, day())
+
+
+@query(
+    "source_resolution",
+    f"""{WITH_CATALOG}, files AS (SELECT relative_path AS path, content_sha256 AS sha FROM catalog), by_hash AS (SELECT sha, max(path) AS path FROM files GROUP BY sha)
+    SELECT document_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN relative_path END, h.path) AS source_path FROM catalog c JOIN by_hash h ON h.sha = c.content_sha256""",
+)
+def source_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries whose own path is gone or leaves the root are found by content."""
+    entries = inputs.catalog(spark, folder)
+    path = (
+        F.when(F.col("doc_id") % 3 == 0, F.col("relative_path"))
+        .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("../"), "relative_path"))
+        .otherwise(F.concat(F.lit("moved/"), "relative_path"))
+    )
+    moved = entries.select("document_id", "content_sha256", F.array(path).alias("relative_paths"))
+    return catalog.resolve_sources(moved, inventory(spark, folder)).select("document_id", "source_path")

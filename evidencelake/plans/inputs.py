@@ -25,9 +25,9 @@ _TEXT_KEYS = {
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
     keys = _TEXT_KEYS.get(name)
-    return sizing.spread(rows, *keys) if keys else rows
+    return sizing.read_spread(spark, path, *keys) if keys else spark.read.parquet(path)
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
