@@ -135,26 +135,29 @@ def score(
     ).distinct()
     counts = _chunk_terms(chunks, sizing.hint(vocabulary, small), scope_col, text_col)
 
-    # one row per scope that is asked and one per vocabulary term: inside the bound
+    # One row per vocabulary term, inside the proven bound.  The marker's row holds
+    # the corpus size and total length of its scope and is spread to the others.
     is_length = F.col("term") == F.lit(_LENGTH_ROW)
-    sizes = counts.groupBy("scope").agg(
-        F.sum(F.when(is_length, 1)).alias("n"),
-        (F.sum(F.when(is_length, F.col("length").cast("double")))
-         / F.sum(F.when(is_length, 1))).alias("average"),
-    )
-    frequency = counts.groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
-    weights = (
-        frequency.join(sizing.hint(terms, small), ["scope", "term"])
-        .join(sizing.hint(sizes, small), "scope")
+    whole_scope = Window.partitionBy("scope")
+    frequency = (
+        counts.groupBy("scope", "term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("length").cast("double")).alias("total"))
         .select(
             "scope",
-            "query_id",
             "term",
-            "average",
-            F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
-            (F.col("df") <= F.greatest(F.lit(1), F.ceil(F.col("n") * params.rare_ratio))).alias("rare"),
+            "df",
+            F.max(F.when(is_length, F.col("df"))).over(whole_scope).alias("n"),
+            F.max(F.when(is_length, F.col("total") / F.col("df"))).over(whole_scope).alias("average"),
         )
     )
+    weights = frequency.join(sizing.hint(terms, small), ["scope", "term"]).select(
+        "scope",
+        "query_id",
+        "term",
+        "average",
+        F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"),
+        (F.col("df") <= F.greatest(F.lit(1), F.ceil(F.col("n") * params.rare_ratio))).alias("rare"),
+    )
     ratio = F.when(F.col("average") > 0, F.col("length") / F.col("average")).otherwise(F.lit(0.0))
     weight = F.col("idf") * (
         F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * ratio))

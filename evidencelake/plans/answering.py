@@ -540,7 +540,9 @@ def routed_questions(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.col("text"))
     )
     rows = inputs.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), phrase.alias("query"))
-    return understanding.analyze(rows).select("query_id", "route")
+    # read many times below: keep the routes as a small stored table
+    ensure_checkpoint_dir(spark)
+    return understanding.analyze(rows).select("query_id", "route").checkpoint()
 
 
 @query(
