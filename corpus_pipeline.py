@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: five stages, each written and read again."""
+"""From raw documents to packed training sequences: five stages, each written and read again.
+
+The stages reject low quality, keep one document of each near-duplicate class, redact personal data, mix the sources
+and pack the token pieces. All but the last return the columns of documents. Sources are mixed without losing a
+document: the largest source is used once, the rarest at most mixing.REPETITION times.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +11,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidencelake.llm import common, packing
+from evidencelake.llm import common, mixing, neardup, packing, pii, quality
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rows(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("MinHash near-dedup", keep_one_of_near_duplicates),
+    ("PII", redact_personal_data),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
+#: Trained models, signatures and token ids can't be stated in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
