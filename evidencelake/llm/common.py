@@ -113,6 +113,18 @@ def ngram_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nda
         return state[keep], rows[keep]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them where the columns of df have them already."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        found.append(name)
+    return found
+
+
 def crc_remainder(column: str, modulus: int):
     """crc32 of the id as text, modulo; null where the id is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

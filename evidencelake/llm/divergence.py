@@ -144,3 +144,48 @@ def judge(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & ~F.coalesce(far, F.lit(False))).alias("kept"), "class_distance", "word_distance",
     )
+
+
+_COUNTED = ", ".join(f"sum({c})::double as {c}" for c in CLASSES)
+_JS = """list_sum(list_transform(range(1, len({p}) + 1), lambda i:
+    case when {p}[i] > 0 then {p}[i] * log2({p}[i] / (({p}[i] + {q}[i]) / 2)) else 0.0 end / 2
+    + case when {q}[i] > 0 then {q}[i] * log2({q}[i] / (({p}[i] + {q}[i]) / 2)) else 0.0 end / 2))"""
+ORACLE = rf"""
+with d as (
+  select doc_id, coalesce('l' || lang, 'null') as language, coalesce(text, '') as text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda w: w <> '') as words from documents),
+m as (
+  select doc_id, language, text, words, len(words)::bigint as n_words, array_to_string(words, '') as joined,
+    list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^ 	-]')) as lines from d),
+c as (
+  select doc_id, language, words, n_words, length(joined)::bigint as word_chars,
+    (length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')))::bigint as n_symbols,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    length(joined) - length(regexp_replace(joined, '\p{{Ll}}', '', 'g')) as lower, length(joined) - length(regexp_replace(joined, '\p{{Lu}}', '', 'g')) as upper,
+    length(joined) - length(regexp_replace(joined, '\p{{Nd}}', '', 'g')) as digit, length(text) - length(joined) as space,
+    length(joined) - length(regexp_replace(joined, '[.,;:!?''"()-]', '', 'g')) as mark,
+    length(regexp_replace(joined, '[\p{{Ll}}\p{{Lu}}\p{{Nd}}.,;:!?''"()-]', '', 'g')) as other from m),
+w as (select doc_id, unnest(range(1, n_words - 1)) as i, words from m where n_words >= 3),
+v as (select doc_id, i, count(*) over (partition by doc_id, words[i], words[i + 1], words[i + 2]) as again from w),
+r as (select doc_id, count(distinct p)::bigint as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from v where again > 1) group by 1),
+f as (select language, word, count(*) as n from (select language, unnest(words) as word from m) group by all),
+t as (select language, sum(n) as total from f group by 1),
+k as (select language, word, n / total as q, row_number() over (partition by language order by n desc, word) as place from f join t using (language) where n >= total * {LEAST_SHARE}),
+common as (select language, list(word order by place) as common_words, list(q order by place) as shares from k where place <= {COMMON_WORDS} group by 1),
+s as (select language, {_COUNTED} from c group by 1),
+q as (select language, list_transform([{', '.join(CLASSES)}], lambda x: x / greatest(1.0, {' + '.join(CLASSES)})) as class_q from s),
+p as (
+  select c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, class_q,
+    list_transform([{', '.join('c.' + x for x in CLASSES)}], lambda x: x / greatest(1, {' + '.join('c.' + x for x in CLASSES)})::double) as class_p,
+    list_append(shares, greatest(0.0, 1.0 - list_sum(shares))) as word_q,
+    list_transform(common_words, lambda x: len(list_filter(words, lambda y: y = x)) / greatest(1, n_words)::double) as held
+  from c left join r on r.doc_id = c.doc_id left join q on q.language = c.language left join common on common.language = c.language),
+j as (
+  select *, list_append(held, greatest(0.0, 1.0 - list_sum(held))) as word_p, n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words as base_failed from p),
+e as (
+  select *, round(sqrt(greatest(0.0, {_JS.format(p='class_p', q='class_q')})), 6) as class_distance,
+    round(sqrt(greatest(0.0, {_JS.format(p='word_p', q='word_q')})), 6) as word_distance from j)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
+  not base_failed and not coalesce((n_words >= {CLASS_WORDS} and class_distance > {CLASS_DISTANCE}) or (n_words >= {WORD_WORDS} and word_distance > {WORD_DISTANCE}), false) as kept
+from e
+"""

@@ -122,16 +122,16 @@ def mixed_rows(docs: DataFrame, *, seed: int = 0, **targets) -> DataFrame:
     Rows are told apart by doc_id and text; equal rows are drawn alike. Only counts and keys are sorted, the texts move once.
     """
     version = F.xxhash64(F.coalesce("text", F.lit("")))
-    drawn = mix(docs.withColumn("_version", version), "_version", seed=seed, **targets)
-    times = drawn.groupBy(F.col("doc_id").alias("_doc"), "_version", F.col("source").alias("_from")).agg(F.count("*").alias("_drawn"))
-    equal = docs.groupBy(F.col("doc_id").cast("long").alias("_doc"), version.alias("_version"), F.col("source").cast("string").alias("_from")).agg(F.count("*").alias("_rows"))
-    same = F.col("a._doc").eqNullSafe(F.col("b._doc")) & (F.col("a._version") == F.col("b._version")) & F.col("a._from").eqNullSafe(F.col("b._from"))
-    times = times.alias("a").join(equal.alias("b"), same).select("a._doc", F.col("a._version").alias("_v"), "a._from", F.ceil(F.col("_drawn") / F.col("_rows")).cast("int").alias("_times"))
-    keyed = docs.withColumn("_version", version)
-    met = keyed.join(
-        times, keyed["doc_id"].cast("long").eqNullSafe(times["_doc"]) & (keyed["_version"] == times["_v"]) & keyed["source"].cast("string").eqNullSafe(times["_from"])
-    )
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    key = [F.col("doc_id").cast("long").alias("doc"), version.alias("version"), F.col("source").cast("string").alias("from")]
+    narrow = docs.select("doc_id", "source", "text", version.alias("version"))
+    drawn = mix(narrow, "version", seed=seed, **targets)
+    times = drawn.groupBy(F.col("doc_id").alias("doc"), "version", F.col("source").alias("from")).agg(F.count("*").alias("drawn"))
+    equal = docs.groupBy(*key).agg(F.count("*").alias("rows"))
+    same = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["version"] == b["version"]) & a["from"].eqNullSafe(b["from"])
+    names = common.free_names(docs, "key_doc", "key_version", "key_from", "times", "turn_of")
+    times = times.join(equal, same(times, equal)).select(times["doc"], times["version"], times["from"], F.ceil(F.col("drawn") / F.col("rows")).cast("int")).toDF(*names[:4])
+    met = (F.col("doc_id").cast("long").eqNullSafe(F.col(names[0]))) & (version == F.col(names[1])) & F.col("source").cast("string").eqNullSafe(F.col(names[2]))
+    return docs.join(times, met).withColumn(names[4], F.explode(F.sequence(F.lit(1), F.col(names[3])))).select(*docs.columns)
 
 
 ORACLE = rf"""

@@ -236,12 +236,12 @@ PASSAGE = ["doc_id", "version", "start", "end", "n_words", "first_doc_id", "firs
 
 def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows with their columns, repeated passages cut out of their texts."""
-    spans = repeated(docs, min_words=min_words).groupBy(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"))
-    spans = spans.agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    doc, version, cut = common.free_names(docs, "key_doc", "key_version", "cut_spans")
+    spans = repeated(docs, min_words=min_words).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end")))).toDF(doc, version, cut)
     text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumn("_v", F.xxhash64(text)).join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_v") == F.col("_version")), "left")
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(version)), "left")
     kept = F.aggregate(
-        "_spans",
+        cut,
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
         lambda done, s: F.struct(
             F.when(s["start"] > done["at"], F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int")))).otherwise(done["text"]).alias("text"),
@@ -249,4 +249,4 @@ def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame
         ),
         lambda done: F.concat(done["text"], F.substring(text, (done["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)

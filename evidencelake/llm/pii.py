@@ -123,19 +123,19 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
 MENTION = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
+def _key() -> tuple:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(*columns, F.col("doc_id").cast("long").alias("_doc"), F.unhex(F.md5(text)).alias("_version"), text.alias("_text"))
+    return F.col("doc_id").cast("long"), F.unhex(F.md5(text)), text
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """A row per document: its base spans, counted and joined, and its mentions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "_text"):
-            some = pc.match_substring_regex(batch["_text"], "[0-9@+]").to_pylist()
+        for batch in common.slices(batches):
+            some = pc.match_substring_regex(batch["text"], "[0-9@+]").to_pylist()
             counts, base, shas, found = [], [], [], []
-            for text, has in zip(batch["_text"].to_pylist(), some, strict=True):
+            for text, has in zip(batch["text"].to_pylist(), some, strict=True):
                 spans = base_spans(text) if has else []
                 counts.append([sum(k == kind for k, *_ in spans) for kind in KINDS])
                 base.append(joined(spans))
@@ -143,13 +143,14 @@ def scan(docs: DataFrame) -> DataFrame:
                 found.append(mentions(text, spans) if has else [])
             numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [batch["_doc"], batch["_version"], *numbers, pa.array(shas), pa.array(base, pa.string()), pa.array(found, pa.list_(MENTION))],
+                [batch["doc_id"], batch["version"], *numbers, pa.array(shas), pa.array(base, pa.string()), pa.array(found, pa.list_(MENTION))],
                 ["doc_id", "version", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "mentions"],
             )
 
     mention = "array<struct<start: int, end: int, seed: boolean, instance: bigint, patterns: array<bigint>>>"
     schema = f"doc_id long, version binary, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, mentions {mention}"
-    return keyed(docs).mapInArrow(run, schema)
+    doc, version, text = _key()
+    return docs.select(doc.alias("doc_id"), version.alias("version"), text.alias("text")).mapInArrow(run, schema)
 
 
 def score(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -195,9 +196,10 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The rows with their columns, every span in the text replaced by its kind in angle brackets; n_chars follows."""
     common.prepare(docs.sparkSession)
-    revealed = context_spans(common.store(scan(docs), "scanned")).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "revealed")
-    rows = keyed(docs, *docs.columns)
-    rows = rows.join(revealed, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_version") == F.col("_v")), "left")
+    doc, version, revealed = common.free_names(docs, "key_doc", "key_version", "revealed")
+    spans = context_spans(common.store(scan(docs), "scanned")).toDF(doc, version, revealed)
+    own_doc, own_version, _ = _key()
+    rows = docs.join(spans, own_doc.eqNullSafe(F.col(doc)) & (own_version == F.col(version)), "left")
     names = docs.columns
     at = names.index("text")
 
@@ -205,7 +207,7 @@ def redact(docs: DataFrame) -> DataFrame:
         for batch in common.slices(batches):
             some = pc.fill_null(pc.match_substring_regex(batch["text"], "[0-9@+]"), False).to_pylist()
             texts = []
-            for text, has, more in zip(batch["text"].to_pylist(), some, batch["revealed"].to_pylist(), strict=True):
+            for text, has, more in zip(batch["text"].to_pylist(), some, batch[revealed].to_pylist(), strict=True):
                 if has:
                     spans = base_spans(text) + [(CONTEXT, s["start"], s["end"]) for s in more or []]
                     parts, done = [], 0
@@ -219,7 +221,7 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, batch["text"].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    clean = rows.select(*names, "revealed").mapInArrow(run, docs.schema)
+    clean = rows.select(*names, revealed).mapInArrow(run, docs.schema)
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
         clean = clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull() & F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))

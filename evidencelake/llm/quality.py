@@ -133,17 +133,19 @@ def scores(weights: np.ndarray, texts: pa.Array) -> np.ndarray:
 
 
 def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
-    """The columns `keep` of every row and its score."""
+    """The columns `keep` of every row and, last, its score."""
     common.prepare(docs.sparkSession)
     small = weights.astype(np.float32)
 
+    text, found = common.free_names(docs, "text_read", "score_found")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "_text"):
-            found = pa.array(scores(small, batch["_text"]).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], "_score"])
+        for batch in common.slices(batches, text):
+            values = pa.array(scores(small, batch[text]).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], [*batch.schema.names[:-1], found])
 
-    narrow = docs.select(*keep, F.col("text").alias("_text"))
-    schema = narrow.drop("_text").schema.add("_score", "double")
+    narrow = docs.select(*keep, F.col("text").alias(text))
+    schema = narrow.drop(text).schema.add(found, "double")
     return narrow.mapInArrow(run, schema)
 
 
@@ -151,14 +153,13 @@ def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; rows whose crc32(doc_id) is divisible by five are never learnt from."""
     usable = F.coalesce(common.crc_remainder("doc_id", 5) != 0, F.lit(False))
     weights = fit(docs, labels, usable=usable)
-    found = score(docs, weights, "doc_id")
+    found = score(docs.select("doc_id", "text"), weights, "doc_id").toDF("doc_id", "score")
     held_out = F.coalesce(common.crc_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out")
-    predicted = F.when(F.col("_score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
-    return found.select("doc_id", held_out, F.col("_score").alias("score"), predicted)
+    predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
+    return found.select("doc_id", held_out, "score", predicted)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that the classifier doesn't reject, with their columns."""
-    columns = docs.columns
-    found = score(docs, fit(docs, labels), *columns)
-    return found.filter(F.col("_score") >= THRESHOLD).select(*columns)
+    found = score(docs, fit(docs, labels), *docs.columns)
+    return found.filter(F.col(found.columns[-1]) >= THRESHOLD).select(*docs.columns)

@@ -60,4 +60,4 @@ QUERIES: dict[str, Query] = {
         op6_dart_minhash, op7_closed_syncmers, op8_configuration_packing, op9_ngram_quality, op10_ngram_language,
     )
 }
-ORACLES: dict[str, str] = {"op1_temperature_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op1_temperature_mixing": mixing.ORACLE, "op3_distribution_divergence": divergence.ORACLE}
