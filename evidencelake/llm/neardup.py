@@ -6,9 +6,9 @@ coordinates, and the earliest dart of a coordinate is kept. A text throws about
 elements it has; where a coordinate stays empty, its rank limit is doubled.
 
 Texts are nodes (copies share one). Texts with equal bands meet in a bucket; every text is first compared with the
-least of all texts that it meets, which joins large groups with one comparison each. Buckets whose texts are still in
-several components are then compared block by block, by signature, and all pairs that may be alike are checked. A
-link is a pair with a Jaccard similarity of the exact shingle sets (32-bit hashes) of at least the threshold.
+least of all texts that it meets, which joins large groups with one comparison each. Components that still meet in
+buckets are then compared text by text in blocks of bounded size; of the links found, those that join components are
+kept. A link is a pair with a Jaccard similarity of the exact shingle sets (32-bit hashes) of at least the threshold.
 A pair at the threshold is missed by all 24 bands with a probability of 7 in 100,000.
 
 Defined results: a null text is an empty one; equal texts are one class, so are all empty texts; a text of fewer than
@@ -33,8 +33,8 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Texts of a bucket that are compared at once; larger buckets are cut into blocks that meet pairwise.
 BLOCK = 256
-#: Pairs whose signatures agree less are not checked: four standard deviations below the threshold.
-LIKELY = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / COORDINATES) ** 0.5
+#: Elements that are counted at once when the sets of two blocks are compared.
+COLUMNS = 4096
 
 
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, weighted: bool) -> DataFrame:
-    """doc_id, node (digest of the text), the bucket of each band and the signature's low bytes."""
+    """doc_id, node (digest of the text) and the bucket of each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -114,10 +114,9 @@ def sketch(docs: DataFrame, weighted: bool) -> DataFrame:
             some = np.bincount(rows, minlength=batch.num_rows) > 0
             keys = band_keys(found)
             buckets = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32), pa.array(keys[some].reshape(-1)))
-            low = [x.tobytes() for x in found.astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], buckets, pa.array(low, pa.binary())], ["doc_id", "node", "buckets", "low"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], buckets], ["doc_id", "node", "buckets"])
 
-    return nodes(docs).mapInArrow(run, "doc_id long, node binary, buckets array<long>, low binary")
+    return nodes(docs).mapInArrow(run, "doc_id long, node binary, buckets array<long>")
 
 
 def nodes(docs: DataFrame) -> DataFrame:
@@ -144,53 +143,86 @@ def _check(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
-def _likely_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components that meet in a bucket and whose signatures agree enough.
-
-    members: bucket, node, root, low. Buckets beyond BLOCK texts are cut into blocks by the nodes' hash; a text goes to
-    every pair of blocks that holds its own, and signatures are compared inside the task that reads the two blocks.
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share: products of their incidence matrix, COLUMNS elements at a time."""
+    sizes = np.array([len(x) for x in sets])
+    elements, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    common = times > 1
+    number = np.cumsum(common) - 1
+    row, column = row[common[column]], number[column[common[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for low in range(0, int(common.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        shared += part @ part.T
+    return shared
+
+
+def _block_links(rows: list[tuple], threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """Links that join different components among the texts of two blocks, as few as join them.
+
+    rows: component, i, j, block, node, root, set. Two texts of one block are compared where the block meets itself.
+    """
+    sets = [np.frombuffer(r[6], np.uint32) for r in rows]
+    sizes = np.array([len(x) for x in sets])
+    shared = _shared(sets)
+    alike = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+    blocks = np.array([r[3] for r in rows])
+    if rows[0][1] != rows[0][2]:
+        alike &= blocks[:, None] != blocks[None, :]
+    parent = {r[5]: r[5] for r in rows}
+
+    def top(root: bytes) -> bytes:
+        while parent[root] != root:
+            parent[root] = parent[parent[root]]
+            root = parent[root]
+        return root
+
+    for x, y in zip(*np.nonzero(np.triu(alike, 1)), strict=True):
+        a, b = top(rows[x][5]), top(rows[y][5])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            yield rows[x][4], rows[y][4]
+
+
+def _cross_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between texts of different components that meet in a bucket; members: bucket, node, root.
+
+    Components that meet, directly or through others, are one group; a group beyond BLOCK texts is cut into blocks by
+    the nodes' hash, and a text goes to every pair of blocks that holds its own, where the sets are compared.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
-    many = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(sizes, "bucket").select("bucket", "node", "root", "low", many.alias("many"), F.pmod(F.xxhash64("node"), many).cast("int").alias("block"))
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    met = common.store(members.join(mixed.select("bucket", "low"), "bucket").select("node", "root", "low").distinct(), "mixed")
+    groups = components(met.select(F.col("root").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("component"))
+    texts = met.select("node", "root").distinct().join(groups, "root")
+    sizes = texts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("many"))
+    dealt = texts.join(sizes, "component").join(sets, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "low")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    def pairs(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        low = np.frombuffer(b"".join([r[6] for r in rows]), dtype=np.uint8).reshape(len(rows), -1)
-        roots = np.unique(np.array([r[5] for r in rows], dtype=object), return_inverse=True)[1]
-        blocks = np.array([r[3] for r in rows])
-        crossing = rows[0][1] != rows[0][2]
-        out = []
-        for at in range(len(rows) - 1):
-            rest = np.flatnonzero(roots[at + 1 :] != roots[at]) + at + 1
-            if crossing:
-                rest = rest[blocks[rest] != blocks[at]]
-            if len(rest):
-                agreed = (low[rest] == low[at]).mean(axis=1)
-                out += [tuple(sorted((rows[at][4], rows[x][4]))) for x in rest[agreed >= LIKELY]]
-        return out
+    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "set")
+    dealt = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         for batch in batches:
-            found: set[tuple[bytes, bytes]] = set()
+            found: list[tuple[bytes, bytes]] = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and row[:3] != group[0][:3]:
-                    found.update(pairs(group))
+                    found += _block_links(group, threshold)
                     group = []
                 group.append(row)
             yield _pair_batch(found)
         if group:
-            yield _pair_batch(set(pairs(group)))
+            yield _pair_batch(list(_block_links(group, threshold)))
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def _pair_batch(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    ordered = sorted(found)
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in ordered], pa.binary()) for i in (0, 1)], ["a", "b"])
+def _pair_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
 def links(docs: DataFrame, *, threshold: float = THRESHOLD, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -220,10 +252,7 @@ def links(docs: DataFrame, *, threshold: float = THRESHOLD, weighted: bool = Fal
     sure = common.store(_check(stars, sets, threshold), "links")
     joined = components(sure)
     placed = members.join(joined, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    low = sketches.groupBy("node").agg(F.first("low").alias("low"))
-    open_members = placed.join(mixed, "bucket").join(low, "node").select("bucket", "node", "root", "low")
-    more = common.store(_check(_likely_pairs(open_members), sets, threshold), "links")
+    more = common.store(_cross_links(placed, sets, threshold), "links")
     return sketches.select("doc_id", "node"), components(sure.unionByName(more))
 
 
@@ -242,8 +271,9 @@ def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     rows, roots = links(docs, threshold=threshold)
     counted = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     counted = counted.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    node, least_id = common.free_names(docs, "node_of", "least_id")
     least = F.struct(F.col("least").isNull().alias("none"), "least", "node")
-    chosen = counted.groupBy("root").agg(F.min(least).alias("first")).select(F.col("first.node").alias("_node"), F.col("first.least").alias("_least"))
-    keyed = docs.withColumn("_node", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    kept = keyed.join(chosen, "_node").filter(F.col("doc_id").cast("long").eqNullSafe(F.col("_least")))
-    return kept.dropDuplicates(["_node"]).select(*docs.columns)
+    chosen = counted.groupBy("root").agg(F.min(least).alias("first")).select(F.col("first.node").alias(node), F.col("first.least").alias(least_id))
+    keyed = docs.withColumn(node, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    kept = keyed.join(chosen, node).filter(F.col("doc_id").cast("long").eqNullSafe(F.col(least_id)))
+    return kept.dropDuplicates([node]).select(*docs.columns)
