@@ -74,14 +74,14 @@ def exponent(sources: DataFrame, *, repetition: float | None = None, entropy: fl
     return high / step
 
 
-def plan(rows: DataFrame, *, repetition: float | None = REPETITION, entropy: float | None = None, budget: int | None = None) -> tuple[DataFrame, int]:
+def plan(rows: DataFrame, *, repetition: float | None = REPETITION, entropy: float | None = None, budget: int | None = None) -> tuple[DataFrame, float]:
     """For each source its tokens, weight, budget and blocks; and the whole budget, by default the least that uses all documents."""
     sources = common.store(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "sources")
     power = exponent(sources, repetition=repetition, entropy=entropy)
     raised = F.pow(F.col("tokens").cast("double"), F.lit(power))
     total, least = sources.agg(F.sum(raised), F.min(raised / F.col("tokens"))).first()
     if budget is None:
-        budget = math.ceil(total / least - 1e-6) if total else 0
+        budget = total / least if total else 0
     weight = raised / F.lit(total or 1.0)
     planned = sources.select(
         "source", "tokens", weight.alias("weight"), (weight * F.lit(float(budget))).alias("due"), F.ceil(F.col("tokens") / F.lit(BLOCK_TOKENS)).cast("long").alias("blocks")
@@ -151,7 +151,7 @@ bisect as (
     from bisect where high - low > 1)),
 e as (select min(high) / 1000000.0 as power from bisect),
 r as (select source, tokens, blocks, pow(tokens::double, power) as raised from s, e),
-total as (select sum(raised) as z, ceil(sum(raised) / min(raised / tokens) - 1e-6) as budget from r),
+total as (select sum(raised) as z, sum(raised) / min(raised / tokens) as budget from r),
 p as (select source, tokens, blocks, raised / z * budget as due, budget from r, total),
 k as (
   select d.doc_id, d.source, n_tokens, tokens, due, budget,
