@@ -22,8 +22,8 @@ CLASSES = ("lower", "upper", "digit", "space", "mark", "other")
 #: Common words of a language that are compared, and the least share of its words that one holds.
 COMMON_WORDS, LEAST_SHARE = 24, 0.001
 #: Distances from which a text is rejected, and the words from which it is judged by them.
-CLASS_DISTANCE, CLASS_WORDS = 0.3, 50
-WORD_DISTANCE, WORD_WORDS = 0.6, 100
+CLASS_DISTANCE, CLASS_WORDS = 0.25, 50
+WORD_DISTANCE, WORD_WORDS = 0.31, 100
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
 
@@ -84,22 +84,28 @@ def with_repeats(rows: DataFrame) -> DataFrame:
     rows = rows.select("*", hashes.alias("h")).drop("words")
     windows = F.when(F.col("n_words") >= 3, F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2))))
     rows = rows.select("*", windows.alias("w")).drop("h")
-    # as many low bits as places need, the rest for the hash; equal rests are checked with the whole hash
-    rows = rows.select("*", F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n_words"), F.lit(2))))).cast("long").alias("span"))
-    rows = rows.select("*", F.sort_array(F.transform("w", lambda h, i: h - F.pmod(h, F.col("span")) + i)).alias("sorted"))
-    place = lambda v: F.pmod(v, F.col("span")).cast("int")
-
-    def same(k: Column, other: Column) -> Column:
-        a, b = F.get("sorted", k), F.get("sorted", other)
-        return F.coalesce(((a - place(a)) == (b - place(b))) & (F.get("w", place(a)) == F.get("w", place(b))), F.lit(False))
-
-    repeated = F.filter(F.transform("sorted", lambda v, k: F.when(same(k, k - 1) | same(k, k + 1), place(v))), lambda p: p.isNotNull())
-    rows = rows.select("*", F.sort_array(repeated).alias("at")).drop("sorted", "w")
+    # as many low bits as places need, the rest for the hash; equal rests are checked with the whole hash. Texts whose
+    # windows all differ, most of them, need none of this
+    last = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n_words"), F.lit(2))))).cast("long") - 1
+    rows = rows.select("*", last.alias("mask"), (F.size(F.array_distinct("w")) < F.size("w")).alias("some"))
+    place = lambda v: v.bitwiseAND(F.col("mask"))
+    packed = F.transform("w", lambda h, i: h.bitwiseAND(F.bitwise_not("mask")).bitwiseOR(i.cast("long")))
+    rows = rows.select("*", F.when(F.col("some"), F.sort_array(packed)).alias("sorted"))
+
+    def with_next(v: Column, k: Column) -> Column:
+        following = F.get("sorted", k + 1)
+        alike = (v.bitwiseXOR(following).bitwiseAND(F.bitwise_not("mask")) == 0) & (F.get("w", place(v).cast("int")) == F.get("w", place(following).cast("int")))
+        return F.coalesce(alike, F.lit(False))
+
+    rows = rows.select("*", F.transform("sorted", with_next).alias("again"))
+    either = lambda v, k: F.when(F.get("again", k) | F.coalesce(F.get("again", k - 1), F.lit(False)), place(v).cast("int"))
+    repeated = F.filter(F.transform("sorted", either), lambda p: p.isNotNull())
+    rows = rows.select("*", F.sort_array(repeated).alias("at")).drop("sorted", "w", "again", "some")
     covered = F.aggregate(
         "at", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last")),
         lambda done, p: F.struct((done["n"] + F.least(F.lit(3), p - done["last"])).alias("n"), p.alias("last")), lambda done: done["n"],
     )
-    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at", "span")
+    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at", "mask")
 
 
 def of_language(values: dict[str, list], kind: str) -> Column:
@@ -156,7 +162,8 @@ with d as (
     list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda w: w <> '') as words from documents),
 m as (
   select doc_id, language, text, words, len(words)::bigint as n_words, array_to_string(words, '') as joined,
-    list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^ 	-]')) as lines from d),
+    list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^ 	-
+]')) as lines from d),
 c as (
   select doc_id, language, words, n_words, length(joined)::bigint as word_chars,
     (length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')))::bigint as n_symbols,
