@@ -27,6 +27,8 @@ WINDOW, REACH = 96, 32
 MIN_WORDS = 50
 #: How far beyond shared chunks a shared passage can reach: one chunk, and what a text's end hides of another.
 MARGIN = 2 * WINDOW + REACH
+#: Bytes beside a chunk that have to be shared on one side, and the size from which a chunk needs none.
+CONTEXT, LONG = 64, WINDOW + 1
 #: Stands for a null doc_id inside.
 NO_ID = -(2**63)
 GEAR = (common.mix(np.arange(256, dtype=np.uint64) + np.uint64(7)) >> np.uint64(32)).astype(np.uint32)
@@ -87,28 +89,78 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
+CHUNK = {"digest": pa.int64(), "doc_id": pa.int64(), "version": pa.int32(), "start": pa.int32(), "size": pa.int32(), "before": pa.int32(), "after": pa.int32()}
+HIT = "doc_id long, version int, start int, size int, first_doc long, first_version int, first_start int"
+
+
+def _around(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """12-bit hashes of the CONTEXT bytes before each place; -1 where a text has fewer."""
+    with np.errstate(over="ignore"):
+        grams, width = common.mix(text.astype(np.uint64) + np.uint64(11)), 1
+        while width < CONTEXT and len(grams) > width:
+            grams = grams[:-width] * np.uint64(pow(0x9E3779B97F4A7C15, width, 1 << 64)) + grams[width:]
+            width *= 2
+        found = np.full(len(ends), -1, dtype=np.int32)
+        some = ends >= CONTEXT
+        found[some] = (common.mix(grams[ends[some] - CONTEXT]) >> np.uint64(52)).astype(np.int32)
+    return found
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, version and the digests and starts of its chunks; `again` where the text held the chunk before."""
+    """A row per chunk: its digest, place and size, and what stands before and after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             texts = _bytes(batch["text"])
-            digests, starts, again, counts = [], [], [], []
+            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
             for text, bounds in zip(texts, cuts(texts), strict=True):
-                own = np.array([xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], dtype=np.uint64)
-                seen = np.ones(len(own), dtype=bool)
-                seen[np.unique(own, return_index=True)[1]] = False
-                digests.append(own)
-                starts.append(bounds[:-1])
-                again.append(seen)
-                counts.append(len(own))
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            values = (pa.array(np.concatenate(digests).view(np.int64)), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(again)))
-            columns = [pa.ListArray.from_arrays(offsets, v) for v in values]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], *columns], ["doc_id", "version", "digests", "starts", "again"])
-
-    schema = "doc_id long, version long, digests array<long>, starts array<int>, again array<boolean>"
-    return _rows(docs).withColumn("version", F.xxhash64("text")).select("doc_id", "version", "text").mapInArrow(run, schema)
+                data = np.frombuffer(text, dtype=np.uint8)
+                around = _around(data, np.append(bounds, np.minimum(bounds + CONTEXT, len(data))))
+                beyond = np.where(bounds + CONTEXT <= len(data), around[len(bounds) :], -1)
+                digests = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                columns = (np.array(digests, dtype=np.uint64).view(np.int64), bounds[:-1], np.diff(bounds), around[: len(bounds) - 1], beyond[1:])
+                for part, column in zip(parts, columns, strict=True):
+                    part.append(column)
+            counts = np.array([len(x) for x in parts[0]])
+            row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            digest, *others = [np.concatenate(x) for x in parts]
+            values = [pa.array(digest), batch["doc_id"].take(row), batch["version"].take(row), *(pa.array(x.astype(np.int32)) for x in others)]
+            yield pa.RecordBatch.from_arrays(values, list(CHUNK))
+
+    narrow = _rows(docs).select("doc_id", _version(), "text")
+    return narrow.mapInArrow(run, "digest long, doc_id long, version int, start int, size int, before int, after int")
+
+
+def _version():
+    """Tells texts with one doc_id apart; where two of them agree, comparing the bytes decides."""
+    return F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("version")
+
+
+def found_again(rows: DataFrame) -> DataFrame:
+    """Chunks that a document with a lesser id holds too, with the bytes before or after them, and where.
+
+    The rows of a digest lie together, the least document first; they are read in order and not gathered. A stretch of
+    2 * WINDOW + 32 bytes around a chunk of WINDOW reaches CONTEXT bytes beyond it on one side at least.
+    """
+    keys = ["digest", "doc_id", "version", "start"]
+    dealt = rows.repartition("digest").sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: np.ndarray | None = None  # the first row of the digest that a batch ended in
+        for batch in batches:
+            own = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            data = own if head is None else np.concatenate([head, own], axis=1)
+            starts = np.flatnonzero(np.concatenate([[True], data[0, 1:] != data[0, :-1]]))
+            first = np.repeat(starts, np.diff(np.append(starts, data.shape[1])))
+            head = data[:, first[-1:]]
+            other = data[:, first]
+            near = ((data[5] == other[5]) & (data[5] >= 0)) | ((data[6] == other[6]) & (data[6] >= 0)) | (data[4] >= LONG)
+            again = (data[1] != other[1]) & near
+            columns = [pa.array(data[i, again], CHUNK[n]) for i, n in ((1, "doc_id"), (2, "version"), (3, "start"), (4, "size"))]
+            columns += [pa.array(other[i, again], CHUNK[n]) for i, n in ((1, "doc_id"), (2, "version"), (3, "start"))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in HIT.split(", ")])
+
+    return dealt.mapInArrow(run, HIT)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -124,114 +176,128 @@ def _points(data: np.ndarray) -> int:
     return int(((data & 0xC0) != 0x80).sum())
 
 
-def _regions(hits: list[dict], text: bytes, bounds: np.ndarray, min_words: int) -> Iterator[tuple]:
-    """What of a text to compare with which other: for each run of chunks found again and each way to lay it on another text."""
-    hits = sorted(hits, key=lambda h: h["place"])
-    data = np.frombuffer(text, dtype=np.uint8)
+def _stretches(hits: list[dict]) -> Iterator[tuple]:
+    """What to compare: for each run of chunks found again, and each way to lay it on another text, the stretches of both."""
+    hits = sorted(hits, key=lambda h: h["start"])
     run: list[dict] = []
     for hit in [*hits, None]:
-        if run and (hit is None or hit["place"] != run[-1]["place"] + 1):
-            low = max(0, int(bounds[run[0]["place"]]) - MARGIN)
-            high = min(len(text), int(bounds[run[-1]["place"] + 1]) + MARGIN)
-            while low and (text[low] & 0xC0) == 0x80:
-                low -= 1
-            while high < len(text) and (text[high] & 0xC0) == 0x80:
-                high += 1
-            if _words(data[low:high]) >= min_words:
-                laid = {}
-                for h in run:
-                    laid.setdefault((h["first_doc"], h["first_start"] - int(bounds[h["place"]])), h)
-                for (first_doc, _), h in laid.items():
-                    yield first_doc, low, _points(data[:low]), text[low:high], int(bounds[h["place"]]) - low, h["first_start"], bool(low == 0), bool(high == len(text))
+        if run and (hit is None or hit["start"] > run[-1]["start"] + run[-1]["size"] + MARGIN):
+            low, high = max(0, run[0]["start"] - MARGIN), run[-1]["start"] + run[-1]["size"] + MARGIN
+            for first_doc, first_version, shift in sorted({(h["first_doc"], h["first_version"], h["first_start"] - h["start"]) for h in run}):
+                yield first_doc, first_version, shift, low, high
             run = []
         if hit is not None:
             run.append(hit)
 
 
-def _extend(region: np.ndarray, other: np.ndarray, anchor: int, first_start: int, whole_left: bool, whole_right: bool) -> tuple[int, int]:
-    """The longest equal stretch around the anchor, cut to words that are whole in both texts."""
-    shift = first_start - anchor
+REQUEST = {
+    "pair": pa.int64(), "at_doc": pa.int64(), "at_version": pa.int32(), "side": pa.int32(), "low": pa.int32(), "high": pa.int32(),
+    "doc_id": pa.int64(), "version": pa.int32(), "first_doc": pa.int64(), "shift": pa.int32(),
+}
+PIECE = {**{k: REQUEST[k] for k in ("pair", "side", "doc_id", "version", "first_doc", "shift", "low")}, "points": pa.int32(), "whole_left": pa.bool_(), "whole_right": pa.bool_(), "piece": pa.binary()}
+PASSAGE = ["doc_id", "version", "start", "end", "n_words", "first_doc_id", "first_start"]
+_SQL = {pa.int64(): "long", pa.int32(): "int", pa.bool_(): "boolean", pa.binary(): "binary"}
+
+
+def _schema(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{name} {_SQL[kind]}" for name, kind in columns.items())
+
+
+def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    values = list(zip(*rows, strict=True)) if rows else [[] for _ in columns]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, columns.values(), strict=True)], list(columns))
+
+
+def _equal_stretches(region: np.ndarray, other: np.ndarray, shift: int, ends: tuple[dict, dict], least: int) -> Iterator[tuple[int, int]]:
+    """Equal stretches of two texts laid on each other, cut to words that are whole in both; of `least` bytes or more."""
     low, high = max(0, -shift), min(len(region), len(other) - shift)
-    if not low <= anchor < high:
-        return 0, 0
-    equal = region[low:high] == other[low + shift : high + shift]
-    if not equal[anchor - low]:
-        return 0, 0
-    apart = np.flatnonzero(~equal)
-    at = np.searchsorted(apart, anchor - low)
-    begin = low + (int(apart[at - 1]) + 1 if at else 0)
-    end = low + (int(apart[at]) if at < len(apart) else high - low)
+    if high - low < least:
+        return
+    equal = np.zeros(high - low + 2, dtype=bool)
+    equal[1:-1] = region[low:high] == other[low + shift : high + shift]
+    edges = np.flatnonzero(equal[1:] != equal[:-1]) + low
 
     def solid(data: np.ndarray, i: int, known: bool) -> bool:
+        """Whether a sign stands there; at the edge of what was cut out, unless the text itself ends."""
         return bool(not WHITE[data[i]]) if 0 <= i < len(data) else not known
 
-    if solid(region, begin - 1, whole_left) or solid(other, begin + shift - 1, True):
-        while begin < end and not WHITE[region[begin]]:
+    for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if end - begin < least:
+            continue
+        if any(solid(d, i, e["whole_left"]) for d, i, e in ((region, begin - 1, ends[0]), (other, begin + shift - 1, ends[1]))):
+            while begin < end and not WHITE[region[begin]]:
+                begin += 1
+        if any(solid(d, i, e["whole_right"]) for d, i, e in ((region, end, ends[0]), (other, end + shift, ends[1]))):
+            while end > begin and not WHITE[region[end - 1]]:
+                end -= 1
+        while begin < end and WHITE[region[begin]]:
             begin += 1
-    if solid(region, end, whole_right) or solid(other, end + shift, True):
-        while end > begin and not WHITE[region[end - 1]]:
+        while end > begin and WHITE[region[end - 1]]:
             end -= 1
-    while begin < end and WHITE[region[begin]]:
-        begin += 1
-    while end > begin and WHITE[region[end - 1]]:
-        end -= 1
-    return begin, end
+        yield begin, end
 
 
 def repeated(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, version, start, end (code points), n_words, first_doc_id, first_start: a row per passage found again."""
     common.prepare(docs.sparkSession)
-    stored = common.store(chunks(docs), "chunks")
-    each = stored.select("doc_id", "version", F.posexplode(F.arrays_zip("digests", "starts", "again")).alias("place", "chunk"))
-    each = each.select("doc_id", "version", "place", F.col("chunk.digests").alias("digest"), F.col("chunk.starts").alias("start"), F.col("chunk.again").alias("again"))
-    firsts = each.filter(~F.col("again")).groupBy("digest").agg(
-        F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min_by("start", "doc_id").alias("first_start")
-    )
-    shared = firsts.filter("first_doc <> last_doc").select("digest", "first_doc", "first_start")
-    hits = each.select("doc_id", "version", "place", "digest").join(shared, "digest").filter("doc_id <> first_doc")
-    per_text = hits.groupBy("doc_id", "version").agg(F.collect_list(F.struct("place", "first_doc", "first_start")).alias("hits"))
+    per_text = found_again(chunks(docs)).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "size", "first_doc", "first_version", "first_start")).alias("hits"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, version, hits in zip(*(batch[c].to_pylist() for c in ("doc_id", "version", "hits")), strict=True):
+                for first_doc, first_version, shift, low, high in _stretches(hits):
+                    key = xxhash.xxh3_64_intdigest(f"{doc_id} {version} {first_doc} {first_version} {low} {shift}".encode()) - (1 << 63)
+                    shared = (doc_id, version, first_doc, shift)
+                    rows.append((key, doc_id, version, 0, low, high, *shared))
+                    # a sign more on both sides shows whether words are whole
+                    rows.append((key, first_doc, first_version, 1, max(0, low + shift - 4), max(0, high + shift + 4), *shared))
+            yield _batch(rows, REQUEST)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            texts = _bytes(batch["text"])
             rows = []
-            for doc_id, version, hits, text, bounds in zip(*(batch[c].to_pylist() for c in ("doc_id", "version", "hits")), texts, cuts(texts), strict=True):
-                rows += [(doc_id, version, *x) for x in _regions(hits, text, bounds, min_words)]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in REGION]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, REGION.values(), strict=True)], list(REGION))
-
-    full = _rows(docs)
-    of_text = per_text.withColumnRenamed("doc_id", "own").join(full, F.col("own") == full["doc_id"]).filter(F.col("version") == F.xxhash64("text"))
-    regions = of_text.select("doc_id", "version", "hits", "text").dropDuplicates(["doc_id", "version"]).mapInArrow(
-        cut_out, "doc_id long, version long, first_doc long, low int, points int, region binary, anchor int, first_start int, whole_left boolean, whole_right boolean"
-    )
+            for r in zip(*(batch[c].to_pylist() for c in (*REQUEST, "text")), strict=True):
+                r = dict(zip((*REQUEST, "text"), r, strict=True))
+                text = r["text"].encode("utf-8", "surrogatepass")
+                low, high = min(r["low"], len(text)), min(r["high"], len(text))
+                points = _points(np.frombuffer(text[:low], np.uint8))
+                rows.append((*(r[k] for k in ("pair", "side", "doc_id", "version", "first_doc", "shift")), low, points, low == 0, high == len(text), text[low:high]))
+            yield _batch(rows, PIECE)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        own: list[dict] = []
+        for batch in batches:
             rows = []
-            names = ("doc_id", "version", "first_doc", "points", "region", "anchor", "first_start", "whole_left", "whole_right", "text")
-            for doc_id, version, first_doc, points, region, anchor, start, left, right, text in zip(*(batch[c].to_pylist() for c in names), strict=True):
-                own, other = np.frombuffer(region, np.uint8), np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                begin, end = _extend(own, other, anchor, start, left, right)
-                words = _words(own[begin:end])
-                if words >= min_words:
-                    at = points + _points(own[:begin])
-                    rows.append((doc_id, version, at, at + _points(own[begin:end]), words, first_doc, _points(other[: begin + start - anchor])))
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], PASSAGE)
-
-    laid = regions.join(full.withColumnRenamed("doc_id", "at_doc"), F.col("first_doc") == F.col("at_doc"))
-    found = laid.select(*(c for c in REGION if c != "low"), "text").mapInArrow(lay, ", ".join(f"{c} long" for c in PASSAGE))
+            for r in batch.to_pylist():
+                if r["side"] == 0:
+                    if own and own[0]["pair"] != r["pair"]:
+                        own = []
+                    own.append(r)
+                    continue
+                for o in own if own and own[0]["pair"] == r["pair"] else []:
+                    rows += _passages(o, r, min_words)
+            yield _batch(rows, dict.fromkeys(PASSAGE, pa.int64()))
+
+    asked = per_text.mapInArrow(ask, _schema(REQUEST))
+    full = _rows(docs)
+    met = asked.join(full, asked["at_doc"] == full["doc_id"]).select(*(asked[c] for c in REQUEST), "text").filter(F.col("at_version") == _version())
+    pieces = met.mapInArrow(cut_out, _schema(PIECE)).repartition("pair").sortWithinPartitions("pair", "side")
+    found = pieces.mapInArrow(lay, ", ".join(f"{c} long" for c in PASSAGE))
     found = found.groupBy("doc_id", "version", "start", "end", "n_words").agg(F.min(F.struct("first_doc_id", "first_start")).alias("first"))
     plain = [F.when(F.col(c) != NO_ID, F.col(c)).alias(n) for c, n in (("doc_id", "doc_id"), ("first.first_doc_id", "first_doc_id"))]
     return found.select(plain[0], "version", "start", "end", "n_words", plain[1], F.col("first.first_start").alias("first_start"))
 
 
-REGION = {
-    "doc_id": pa.int64(), "version": pa.int64(), "first_doc": pa.int64(), "low": pa.int32(), "points": pa.int32(), "region": pa.binary(),
-    "anchor": pa.int32(), "first_start": pa.int32(), "whole_left": pa.bool_(), "whole_right": pa.bool_(),
-}
-PASSAGE = ["doc_id", "version", "start", "end", "n_words", "first_doc_id", "first_start"]
+def _passages(own: dict, other: dict, min_words: int) -> Iterator[tuple]:
+    """The passages with enough words that two stretches share where a shared chunk lays them on each other."""
+    a, b = np.frombuffer(own["piece"], np.uint8), np.frombuffer(other["piece"], np.uint8)
+    shift = own["low"] + own["shift"] - other["low"]
+    for begin, end in _equal_stretches(a, b, shift, (own, other), 2 * min_words - 1):
+        words = _words(a[begin:end])
+        if words >= min_words:
+            at, first = own["points"] + _points(a[:begin]), other["points"] + _points(b[: begin + shift])
+            yield own["doc_id"], own["version"], at, at + _points(a[begin:end]), words, own["first_doc"], first
 
 
 def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
@@ -239,7 +305,7 @@ def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame
     doc, version, cut = common.free_names(docs, "key_doc", "key_version", "cut_spans")
     spans = repeated(docs, min_words=min_words).groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end")))).toDF(doc, version, cut)
     text = F.coalesce("text", F.lit(""))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(version)), "left")
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int") == F.col(version)), "left")
     kept = F.aggregate(
         cut,
         F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")),
