@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from evidencelake.session import ensure_checkpoint_dir, ship_package
 
 #: Text handled at once inside a task; longer batches are cut, single texts never.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 #: Entries that a worker's word caches hold before they start anew (a cache, not a limit on words).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 _HASHES: dict[str, int] = {}
 

@@ -57,23 +57,18 @@ def _shape_hashes(words: pa.Array) -> np.ndarray:
     return out
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bucket and share of each n-gram occurrence."""
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each family of n-grams in turn: row, bucket and share of each occurrence."""
     offsets, codes, words = common.split_words(texts)
     surface, shapes = common.word_hashes(words)[codes], _shape_hashes(words)[codes]
-    rows, buckets, shares = [], [], []
     for hashes, n, low, size in (
         (shapes, 1, 0, SHAPE_BUCKETS), (shapes, 2, 0, SHAPE_BUCKETS), (shapes, 3, 0, SHAPE_BUCKETS),
         (surface, 1, SHAPE_BUCKETS, BUCKETS - SHAPE_BUCKETS), (surface, 2, SHAPE_BUCKETS, BUCKETS - SHAPE_BUCKETS),
     ):
         grams, row = common.ngram_hashes(hashes, offsets, n)
         with np.errstate(over="ignore"):
-            bucket = common.mix(grams + np.uint64(n)) % np.uint64(size)
-        many = np.bincount(row, minlength=len(texts))
-        rows.append(row)
-        buckets.append(bucket.astype(np.int64) + low)
-        shares.append(1.0 / many[row])
-    return np.concatenate(rows), np.concatenate(buckets), np.concatenate(shares)
+            bucket = (common.mix(grams + np.uint64(n)) % np.uint64(size)).astype(np.int64) + low
+        yield row, bucket, (1.0 / np.bincount(row, minlength=len(texts)).clip(1))[row]
 
 
 def follow_the_leader(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int) -> tuple[np.ndarray, float]:
@@ -96,7 +91,7 @@ def _train(table: pa.Table) -> pa.Table:
     table = table.take(pa.array(order))
     examples = []
     for batch in common.slices(iter(table.combine_chunks().to_batches())):
-        row, bucket, share = features(batch["text"])
+        row, bucket, share = (np.concatenate(x) for x in zip(*features(batch["text"]), strict=True))
         keys, inverse = np.unique(row * BUCKETS + bucket, return_inverse=True)
         values = np.bincount(inverse, weights=share)
         edges = np.searchsorted(keys, np.arange(batch.num_rows + 1) * BUCKETS)
@@ -127,8 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", usable: C
 
 
 def scores(weights: np.ndarray, texts: pa.Array) -> np.ndarray:
-    row, bucket, share = features(texts)
-    total = np.bincount(row, weights=weights[bucket] * share, minlength=len(texts)) + weights[BUCKETS]
+    total = np.full(len(texts), float(weights[BUCKETS]))
+    for row, bucket, share in features(texts):
+        total += np.bincount(row, weights=weights[bucket] * share, minlength=len(texts))
     return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
@@ -137,15 +133,15 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
     common.prepare(docs.sparkSession)
     small = weights.astype(np.float32)
 
-    text, found = common.free_names(docs, "text_read", "score_found")
+    found = common.free_names(docs, "score_found")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, text):
-            values = pa.array(scores(small, batch[text]).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], [*batch.schema.names[:-1], found])
+        for batch in common.slices(batches):
+            values = pa.array(scores(small, batch["text"]))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), values], [*keep, found])
 
-    narrow = docs.select(*keep, F.col("text").alias(text))
-    schema = narrow.drop(text).schema.add(found, "double")
+    narrow = docs.select(*dict.fromkeys([*keep, "text"]))
+    schema = docs.select(*keep).schema.add(found, "double")
     return narrow.mapInArrow(run, schema)
 
 
