@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUL = "\0"
@@ -42,26 +42,33 @@ def canonical_hash(payload: object) -> str:
     return hashlib.sha256(rendered.encode()).hexdigest()
 
 
-SLICES = 4
+#: Leading hex digits of the row digests that name a bucket of a set: 4,096 buckets.
+BUCKET_DIGITS = 3
 
 
-def set_digest(row_digest: Column) -> Column:
-    """Aggregate: identity of a set of rows, independent of their order.
+def set_digests(rows: DataFrame, by: list[str], digest: str, out: str) -> DataFrame:
+    """Identity of each set of rows, independent of their order, repeats included.
 
-    Slices of the row digests are combined by exclusive or together with the
-    row count; both are partial aggregates, so a set of any size is identified
-    without gathering it.
+    The sorted row digests of a bucket are digested, then the sorted bucket
+    digests; no set of rows is gathered as a whole, and sets differ unless the
+    digest itself collides.
     """
-    parts = [
-        F.bit_xor(F.conv(F.substring(row_digest, 1 + 15 * i, 15), 16, 10).cast("bigint")).cast("string")
-        for i in range(SLICES)
-    ]
-    return F.sha2(F.concat_ws("-", F.count(row_digest).cast("string"), *parts), 256)
+    bucket = F.left(F.col(digest), F.lit(BUCKET_DIGITS)).alias("bucket")
+    inner = rows.groupBy(*by, bucket).agg(
+        F.sha2(F.array_join(F.sort_array(F.collect_list(digest)), "-"), 256).alias("part"), F.count(digest).alias("n")
+    )
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "part"))), lambda b: b["part"]), "-")
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    return inner.groupBy(*by).agg(
+        total.cast("bigint").alias("rows"), F.sha2(F.concat_ws("-", total.cast("string"), parts), 256).alias(out)
+    )
 
 
-def set_digest_sql(row_digest: str) -> str:
-    """The same aggregate for the SQL side."""
-    parts = " || '-' || ".join(
-        f"bit_xor(('0x' || substr({row_digest}, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(SLICES)
-    )
-    return f"sha256(count({row_digest})::VARCHAR || '-' || {parts})"
+def set_digests_sql(source: str, by: str, digest: str, out: str) -> str:
+    """The same statement for the SQL side; ``by`` may be empty."""
+    keys = f"{by}, " if by else ""
+    grouped = f"GROUP BY {by}" if by else ""
+    return f"""SELECT {keys}coalesce(sum(n), 0)::BIGINT AS rows,
+      sha256(concat_ws('-', coalesce(sum(n), 0)::BIGINT::VARCHAR, coalesce(string_agg(part, '-' ORDER BY bucket), ''))) AS {out}
+      FROM (SELECT {keys}left({digest}, {BUCKET_DIGITS}) AS bucket, count({digest}) AS n, sha256(string_agg({digest}, '-' ORDER BY {digest})) AS part
+        FROM {source} GROUP BY {keys}left({digest}, {BUCKET_DIGITS})) {grouped}"""

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Token patterns of the retrieval, verifier and answer normalizers.
 RETRIEVAL_TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -38,23 +37,27 @@ _FOLDING_RANGES = (
 )
 
 
-def python_fold(text: str, *, casefold: bool = True) -> str:
-    """Reference definition of the fold for one string."""
-    value = text.casefold() if casefold else text
-    return "".join(
-        char
-        for char in unicodedata.normalize("NFKD", value)
-        if not unicodedata.combining(char)
-    )
+def _base_letters(char: str) -> str:
+    """What is left of a character after full decomposition, without combining marks."""
+    parts = unicodedata.decomposition(char).split()
+    if not parts:
+        return "" if unicodedata.combining(char) else char
+    mapped = parts[1:] if parts[0].startswith("<") else parts
+    return "".join(_base_letters(chr(int(code, 16))) for code in mapped)
+
+
+def folded_character(char: str, *, casefold: bool = True) -> str:
+    """The fold of one character; the fold of a text is that of its characters, one after another."""
+    return "".join(map(_base_letters, char.casefold() if casefold else char))
 
 
 @functools.lru_cache(maxsize=2)
-def _translate_table(casefold: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
+def _translate_table(casefold: bool) -> tuple[str, str, dict[str, str]]:
     """Split the fold into 1:1 replacements, deletions and expansions."""
-    singles_from, singles_to, deleted, expansions = [], [], [], []
+    singles_from, singles_to, deleted, expansions = [], [], [], {}
     for code in itertools.chain(*_FOLDING_RANGES):
         char = chr(code)
-        folded = python_fold(char, casefold=casefold)
+        folded = folded_character(char, casefold=casefold)
         if folded == char:
             continue
         if not folded:
@@ -63,45 +66,47 @@ def _translate_table(casefold: bool) -> tuple[str, str, tuple[tuple[str, str], .
             singles_from.append(char)
             singles_to.append(folded)
         else:
-            expansions.append((char, folded))
-    return (
-        "".join(singles_from + deleted),
-        "".join(singles_to),
-        tuple(expansions),
-    )
+            expansions[char] = folded
+    return "".join(singles_from + deleted), "".join(singles_to), expansions
+
 
+@functools.lru_cache(maxsize=2)
+def _expanding_class(casefold: bool) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _translate_table(casefold)[2]) + "]"
 
-def _fold_batch(values: pd.Series) -> pd.Series:
-    return values.map(lambda text: None if text is None else python_fold(text))
+
+def _expanded(text: Column, casefold: bool) -> Column:
+    """Replace every character that stands for several letters.
+
+    Rows without such a character are left alone; the others are cut around
+    them, so only those characters are looked up.  What they stand for is final,
+    so this comes after all other replacements.
+    """
+    wide = _expanding_class(casefold)
+    table = F.from_json(F.lit(json.dumps(_translate_table(casefold)[2], ensure_ascii=False)), "map<string,string>")
+    parts = F.regexp_extract_all(text, F.lit(f"{wide}|[^{wide[1:]}+"), F.lit(0))
+    written = F.array_join(F.transform(parts, lambda part: F.coalesce(F.try_element_at(table, part), part)), "")
+    return F.when(text.rlike(wide), written).otherwise(text)
 
 
 def fold(text: Column) -> Column:
-    """Casefold, decompose and drop combining marks (Latin text, JVM only).
+    """Casefold, decompose and drop combining marks, inside the JVM.
 
     Pure ASCII rows, found by comparing byte and character counts, only pay for
-    ``lower``.  Of the characters whose fold has several letters only sharp s is
-    expanded here; text holding rarer ones (ligatures, fractions, squared
-    letters) goes through :func:`fold_any`.
+    ``lower``.  Ligatures, fractions, squared letters and other characters that
+    stand for several letters are written out.
     """
     source, target, _ = _translate_table(True)
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
-        F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), source, target)
+        _expanded(F.translate(text, source, target), True)
     )
 
 
-def fold_any(text: Column) -> Column:
-    """Fold for every code point; only rows that need it leave the JVM."""
-    _, _, expansions = _translate_table(True)
-    wide = "[" + "".join(f"\\x{{{ord(c):x}}}" for c, _ in expansions if c != "ß") + "]"
-    exact = F.pandas_udf(_fold_batch, StringType())
-    return F.coalesce(exact(F.when(text.rlike(wide), text)), fold(text))
-
-
 def strip_marks(text: Column) -> Column:
     """Decompose and drop combining marks but keep case (safety patterns)."""
     source, target, _ = _translate_table(False)
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(
-        F.translate(text, source, target)
+        _expanded(F.translate(text, source, target), False)
     )
 
 

@@ -17,11 +17,6 @@ def end_or_open(end: Column) -> Column:
     return F.coalesce(end, F.to_date(F.lit(OPEN_END)))
 
 
-def periods_overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
-    """Whether two inclusive periods share at least one day."""
-    return F.greatest(s1, s2) <= F.least(end_or_open(e1), end_or_open(e2))
-
-
 def selection_status(review_status: Column, day: Column, start: Column, end: Column) -> Column:
     """First reason an entry is skipped for a snapshot; NULL means selected."""
     return (

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions import hashing, stats
 
+#: Parts in which the levels of one signal pair meet.
+GRID_SALTS = 16
 SIGNALS = ("top_score", "normalized_margin", "query_coverage", "rare_query_coverage")
-MAX_GRID_LEVELS = 4096
 
 
 def _flags() -> dict[str, Column]:
@@ -46,7 +47,7 @@ def threshold_sweep(cases: DataFrame, signal: str, by: list[str] | None = None)
 def best_threshold(sweep: DataFrame, min_acceptance: float, by: list[str] | None = None) -> DataFrame:
     """Feasible threshold with most abstention, then balance, then the lowest."""
     if not 0 < min_acceptance <= 1:
-        raise ValueError("minimum answerable acceptance must be within zero and one")
+        raise ValueError("min_acceptance is a share: above 0, at most 1")
     by = by or []
     key = F.struct("unanswerable_abstention", "balanced_accuracy", (-F.col("threshold")).alias("low"))
     row = F.struct("threshold", "answerable_acceptance", "unanswerable_abstention", "balanced_accuracy")
@@ -56,14 +57,6 @@ def best_threshold(sweep: DataFrame, min_acceptance: float, by: list[str] | None
     return picked.select(*by, "best.*", "feasible_count").where(F.col("threshold").isNotNull())
 
 
-def require_levels(cases: DataFrame, signals: tuple[str, ...] = SIGNALS, limit: int = MAX_GRID_LEVELS) -> None:
-    """Refuse a grid whose definition itself would not be tractable."""
-    row = cases.agg(*[F.approx_count_distinct(s, 0.02).alias(s) for s in signals]).first()
-    wide = [s for s in signals if row[s] > limit * 1.05]
-    if wide:
-        raise ValueError(f"round these signals before a grid search: {', '.join(wide)}")
-
-
 def _condition_json(signal: Column, threshold: Column) -> Column:
     """One condition as sorted-key JSON text, the last tie-breaker of a grid."""
     return F.concat(
@@ -75,7 +68,8 @@ def _condition_json(signal: Column, threshold: Column) -> Column:
     )
 
 
-def _single_candidates(cases: DataFrame, signals: tuple[str, ...], by: list[str]) -> DataFrame:
+def _accepted_by_level(cases: DataFrame, signals: tuple[str, ...], by: list[str]) -> DataFrame:
+    """Accepted cases of both classes for every signal value as a threshold."""
     long = cases.unpivot([*by, "answerable"], list(signals), "signal", "value")
     totals = cases.groupBy(*by).agg(*[F.sum(c).alias(f"{n}_all") for n, c in _flags().items()])
     hist = stats.histogram(long, "value", _flags(), [*by, "signal"])
@@ -84,9 +78,11 @@ def _single_candidates(cases: DataFrame, signals: tuple[str, ...], by: list[str]
     accepted = runs.withColumn(
         "accepted_pos", F.col("pos_total") - F.col("pos_through") + F.col("pos")
     ).withColumn("accepted_neg", F.col("neg_total") - F.col("neg_through") + F.col("neg"))
-    accepted = accepted.drop("pos_total", "neg_total")
-    joined = _with_totals(accepted, totals, by)
-    return joined.select(
+    return _with_totals(accepted.drop("pos_total", "neg_total"), totals, by)
+
+
+def _single_candidates(cases: DataFrame, signals: tuple[str, ...], by: list[str]) -> DataFrame:
+    return _accepted_by_level(cases, signals, by).select(
         *by,
         F.lit(1).alias("condition_count"),
         F.concat(F.lit("["), _condition_json(F.col("signal"), F.col("value")), F.lit("]")).alias("conditions"),
@@ -105,12 +101,14 @@ def _with_totals(rows: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame
     )
 
 
-def _pair_candidates(cases: DataFrame, signals: tuple[str, ...], by: list[str]) -> DataFrame:
+def _pair_candidates(
+    cases: DataFrame, signals: tuple[str, ...], by: list[str], min_acceptance: float | None = None
+) -> DataFrame:
     """Dominance counts of the two-signal grid by running sums along both axes.
 
     Cases collapse to distinct value pairs.  The grid of a pair is the product
-    of its levels by definition; each row of it is completed from the level list
-    of the second signal, whose length :func:`require_levels` bounds.
+    of its levels by definition; levels that alone accept too few positives, and
+    so can be in no feasible pair, are left out where ``min_acceptance`` is given.
     """
     pairs = F.array(
         *[
@@ -127,13 +125,13 @@ def _pair_candidates(cases: DataFrame, signals: tuple[str, ...], by: list[str])
         .agg(*[F.sum(c).alias(n) for n, c in _flags().items()])
     )
     key = [*by, "first", "second"]
-    rights = cells.where(F.col("right").isNotNull()).groupBy(*key).agg(
-        F.sort_array(F.collect_set("right")).alias("levels")
-    )
+    if min_acceptance is not None:
+        cells = _lowered(cells, cases, signals, by, min_acceptance)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(GRID_SALTS - 1)))
+    rights = cells.where(F.col("right").isNotNull()).select(*key, "right").distinct().withColumn("salt", salts)
     lefts = cells.where(F.col("left").isNotNull()).select(*key, "left").distinct()
-    grid = lefts.join(rights, key).select(
-        *key, "left", F.explode("levels").alias("right"), F.lit(0).alias("pos"), F.lit(0).alias("neg")
-    )
+    lefts = lefts.withColumn("salt", F.pmod(F.xxhash64("left"), F.lit(GRID_SALTS)).cast("int"))
+    grid = lefts.join(rights, [*key, "salt"]).select(*key, "left", "right", F.lit(0).alias("pos"), F.lit(0).alias("neg"))
     held = cells.where(F.col("left").isNotNull() & F.col("right").isNotNull())
     dense = grid.unionByName(held.select(*grid.columns)).groupBy(*key, "left", "right").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
@@ -163,10 +161,35 @@ def _pair_candidates(cases: DataFrame, signals: tuple[str, ...], by: list[str])
     )
 
 
-def grid(cases: DataFrame, signals: tuple[str, ...] = SIGNALS, by: list[str] | None = None) -> DataFrame:
-    """All one- and two-condition candidates with their metrics."""
+def _lowered(
+    cells: DataFrame, cases: DataFrame, signals: tuple[str, ...], by: list[str], min_acceptance: float
+) -> DataFrame:
+    """Cells with values above the highest feasible threshold of their signal lowered to it.
+
+    A pair accepts no more positives than either of its conditions, so a
+    threshold that is infeasible alone is in no feasible pair; what lies above
+    the highest feasible one is accepted by every threshold that is left.
+    """
+    accepted = _accepted_by_level(cases, signals, by).where(
+        F.round(F.col("accepted_pos") / F.col("pos_total"), 9) >= min_acceptance
+    )
+    highest = accepted.groupBy(*by, "signal").agg(F.max("value").alias("highest"))
+    for side, value in (("first", "left"), ("second", "right")):
+        bound = highest.withColumnRenamed("signal", side)
+        cells = cells.join(bound, [*by, side]).withColumn(value, F.when(F.col(value).isNotNull(), F.least(value, "highest"))).drop("highest")
+    return cells.groupBy(*by, "first", "second", "left", "right").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def grid(
+    cases: DataFrame,
+    signals: tuple[str, ...] = SIGNALS,
+    by: list[str] | None = None,
+    *,
+    min_acceptance: float | None = None,
+) -> DataFrame:
+    """All one- and two-condition candidates with their metrics; with ``min_acceptance`` at least all that reach it."""
     by = by or []
-    return _single_candidates(cases, signals, by).unionByName(_pair_candidates(cases, signals, by))
+    return _single_candidates(cases, signals, by).unionByName(_pair_candidates(cases, signals, by, min_acceptance))
 
 
 def best_conjunction(candidates: DataFrame, min_acceptance: float, by: list[str] | None = None) -> DataFrame:
@@ -202,7 +225,7 @@ def accepts(conditions: Column, case_signals: dict[str, Column]) -> Column:
 def folds(cases: DataFrame, id_col: str, fold_count: int, seed: str) -> DataFrame:
     """Stratified folds: digest rank inside the class modulo the fold count."""
     if fold_count < 2:
-        raise ValueError("cross-validation requires at least two folds")
+        raise ValueError(f"fold_count is {fold_count}; folds need a rest to train on")
     ranked = stats.hash_rank(cases, id_col, "answerable", seed)
     return ranked.withColumn("fold", (F.col("position") % fold_count).cast("bigint")).drop(
         "position", "stratum_size"
@@ -229,7 +252,9 @@ def cross_validate(
     """Predictions of every case by the policy trained without its fold."""
     folded = folds(cases, id_col, fold_count, seed)
     policies = best_conjunction(
-        grid(training_sets(folded, fold_count).drop("fold"), signals, ["training_fold"]), min_acceptance, ["training_fold"]
+        grid(training_sets(folded, fold_count).drop("fold"), signals, ["training_fold"], min_acceptance=min_acceptance),
+        min_acceptance,
+        ["training_fold"],
     ).select(F.col("training_fold").alias("fold"), "conditions", "condition_count")
     # one policy row per fold
     return folded.join(F.broadcast(policies), "fold").withColumn(
@@ -260,9 +285,9 @@ def split(
 ) -> DataFrame:
     """Hash-ranked split per answerability stratum; forced ids are calibration."""
     if not 0 < fraction < 1:
-        raise ValueError("calibration fraction must be between zero and one")
+        raise ValueError("fraction is a share strictly between 0 and 1")
     if not seed.strip():
-        raise ValueError("split seed must not be empty")
+        raise ValueError("give the split a seed")
     stratum = F.when(F.col(label) == "answerable", "answerable").otherwise("unanswerable")
     marked = cases.withColumn("stratum", stratum).withColumn(
         "forced", F.lit(False) if forced is None else F.coalesce(forced, F.lit(False))
@@ -297,9 +322,7 @@ def split_violations(assignment: DataFrame, cases: DataFrame, id_col: str) -> Da
 def label_fingerprint(cases: DataFrame, id_col: str, label: str) -> DataFrame:
     """Fingerprint of all (id, label) pairs that reveals any drift."""
     pair = F.sha2(F.encode(hashing.nul_join(F.col(id_col).cast("string"), F.col(label)), "utf-8"), 256)
-    return cases.select(pair.alias("h")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("case_count"), hashing.set_digest(F.col("h")).alias("fingerprint")
-    )
+    return hashing.set_digests(cases.select(pair.alias("h")), [], "h", "fingerprint").withColumnRenamed("rows", "case_count")
 
 
 def heldout_summary(cases: DataFrame) -> DataFrame:

@@ -144,8 +144,8 @@ def on_or_before_cycle(links: DataFrame, *, checkpoint_every: int = 4) -> DataFr
 def grouped_copies(inventory: DataFrame) -> DataFrame:
     """One row per content hash: first path, size, media type and copy count.
 
-    Paths of all copies stay rows of the inventory; a content found in a third
-    of all files must not become one row's array.
+    The paths of all copies are the rows of :func:`copy_paths`; a content found
+    in a third of all files must not become one row's array.
     """
     return inventory.groupBy("content_sha256").agg(
         F.min("relative_path").alias("first_path"),
@@ -155,6 +155,14 @@ def grouped_copies(inventory: DataFrame) -> DataFrame:
     )
 
 
+def copy_paths(inventory: DataFrame) -> DataFrame:
+    """Every path of every content as a row: content_sha256, relative_path, is_first."""
+    first = grouped_copies(inventory).select("content_sha256", "first_path")
+    return inventory.select("content_sha256", "relative_path").distinct().join(first, "content_sha256").select(
+        "content_sha256", "relative_path", (F.col("relative_path") == F.col("first_path")).alias("is_first")
+    )
+
+
 def refresh(inventory: DataFrame, previous: DataFrame) -> DataFrame:
     """Merge the current inventory into the previous catalog by content hash.
 

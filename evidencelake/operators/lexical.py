@@ -2,9 +2,9 @@
 
 A chunk is one row, so its complete score for a query is known as soon as the
 chunk's own term counts are.  The plan therefore moves only the occurrences of
-query vocabulary, once, hashed by chunk; counting, joining the broadcast query
-terms and summing all stay in that partitioning, and every task keeps its own
-best ``k`` per query (window group limit) before the final, small exchange.
+query vocabulary, counted per chunk before the exchange; scores are summed per
+query and chunk, and every task keeps its own best ``k`` per query (window
+group limit) before the final, small exchange.
 """
 
 from __future__ import annotations
@@ -94,11 +94,8 @@ def _chunk_terms(chunks: DataFrame, vocabulary: DataFrame, scope_col: str | None
         .where(F.col("term").isNotNull() & F.col("scope").isNotNull())
         .join(vocabulary, ["scope", "term"], "left_semi")
     )
-    return (
-        occurrences.repartition("scope", "chunk_id")
-        .groupBy("scope", "chunk_id", "length", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    # a chunk is one row, so its occurrences are combined before the exchange
+    return occurrences.groupBy("scope", "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 @dataclass(frozen=True)
@@ -135,21 +132,14 @@ def score(
     ).distinct()
     counts = _chunk_terms(chunks, sizing.hint(vocabulary, small), scope_col, text_col)
 
-    # One row per vocabulary term, inside the proven bound.  The marker's row holds
-    # the corpus size and total length of its scope and is spread to the others.
+    # The length rows hold the corpus size and average length of their scope: one row
+    # per scope, of which the queries name no more than they have terms.
     is_length = F.col("term") == F.lit(_LENGTH_ROW)
-    whole_scope = Window.partitionBy("scope")
-    frequency = (
-        counts.groupBy("scope", "term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum(F.col("length").cast("double")).alias("total"))
-        .select(
-            "scope",
-            "term",
-            "df",
-            F.max(F.when(is_length, F.col("df"))).over(whole_scope).alias("n"),
-            F.max(F.when(is_length, F.col("total") / F.col("df"))).over(whole_scope).alias("average"),
-        )
+    sizes = counts.where(is_length).groupBy("scope").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("length").cast("double")).alias("average")
     )
+    held = counts.where(~is_length).groupBy("scope", "term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = held.join(sizing.hint(sizes, small), "scope")
     weights = frequency.join(sizing.hint(terms, small), ["scope", "term"]).select(
         "scope",
         "query_id",
@@ -188,7 +178,7 @@ def score(
 def top_k(scored: DataFrame, k: int, *, min_score: float | None = None, by: str = "query_id") -> DataFrame:
     """Best ``k`` rows per query, highest score first, ties by chunk id."""
     if k <= 0:
-        raise ValueError("top_k must be positive")
+        raise ValueError("k counts rows: 1 or more")
     kept = scored if min_score is None else scored.where(F.col("score") >= min_score)
     order = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("chunk_id"))
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -206,6 +196,6 @@ def search(
 ) -> DataFrame:
     """Ranked chunks per query: query_id, chunk_id, score, rank and match counts."""
     if min_score < 0:
-        raise ValueError("min_score cannot be negative")
+        raise ValueError("min_score is 0 or more")
     scored = score(chunks, queries, params=params, scope_col=scope_col, text_col=text_col)
     return top_k(scored.pairs, k, min_score=min_score)

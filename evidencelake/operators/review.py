@@ -49,7 +49,7 @@ def merge_queue(existing: DataFrame, candidates: DataFrame) -> DataFrame:
     fresh = candidates.join(known, "candidate_id", "left").withColumn(
         "candidate_id",
         F.when(
-            F.col("queued"), F.raise_error(F.lit("candidate id already exists in review queue"))
+            F.col("queued"), F.raise_error(F.lit("a new candidate has the id of a queued one"))
         ).otherwise(F.col("candidate_id")),
     )
     return existing.unionByName(

@@ -66,7 +66,7 @@ def finalize_cases(cases: DataFrame, references: DataFrame, default_date: Column
     joined = cases.join(counts, "case_id", "left")
     relevant = F.when(~F.col("answerable"), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)))
     checked = F.when(
-        F.col("answerable") & (relevant == 0), F.raise_error(F.lit("answerable case has no relevant documents"))
+        F.col("answerable") & (relevant == 0), F.raise_error(F.lit("a case marked answerable names no document"))
     ).otherwise(relevant)
     return joined.select(
         F.coalesce("reference_date", default_date).alias("snapshot_date"),

@@ -8,12 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
 
 from evidencelake.functions import hashing
 from evidencelake.operators import lexical
 
+#: Bytes of a block of queries, vectors of a block, vectors and score cells handled at once.
 MAX_MATRIX_BYTES = 64 * 1024 * 1024
-_HITS = "query_id bigint, chunk_id bigint, score double"
+BLOCK_VECTORS, BATCH_VECTORS, TILE_CELLS = 100_000, 4_096, 4_000_000
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -53,23 +55,53 @@ def window_mean(windows: DataFrame, owner: str, vector_col: str) -> DataFrame:
     )
     unit = F.when(
         F.col("norm") > 0, F.transform("cells", lambda c: c["mean"] / F.col("norm"))
-    ).otherwise(F.raise_error(F.lit("window mean produced a zero vector")))
+    ).otherwise(F.raise_error(F.lit("the windows of an owner cancel out: no direction is left")))
     return ordered.select(owner, unit.alias(vector_col))
 
 
-def _rank_block(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int, floor: float) -> pd.DataFrame:
-    """Best ``k`` of a (queries x vectors) block, ties by id."""
-    scores = np.round(scores, lexical.SCORE_DIGITS)
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(query_ids)), order.shape[1])
-    columns = order.ravel()
-    kept = scores[rows, columns] >= floor
-    return pd.DataFrame(
-        {
-            "query_id": query_ids[rows][kept],
-            "chunk_id": ids[columns][kept],
-            "score": scores[rows, columns][kept],
-        }
+def _best(queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best rows of each query number, ties by id."""
+    order = np.lexsort((ids, -scores, queries))
+    queries, ids, scores = queries[order], ids[order], scores[order]
+    first = np.searchsorted(queries, queries)
+    kept = np.arange(len(queries)) - first < k
+    return queries[kept], ids[kept], scores[kept]
+
+
+class _RunningBest:
+    """Best rows per query over the batches of a task; score blocks have at most TILE_CELLS cells."""
+
+    def __init__(self, k: int, floor: float):
+        self.k, self.floor = k, floor
+        self.rows: tuple[np.ndarray, ...] | None = None
+
+    def add(self, matrix: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+        step = max(1, TILE_CELLS // max(len(vectors), 1))
+        found = [] if self.rows is None else [self.rows]
+        for low in range(0, len(matrix), step):
+            scores = np.round(matrix[low : low + step] @ vectors.T, lexical.SCORE_DIGITS)
+            if scores.shape[1] > self.k:  # all that tie with the k-th best stay until ids decide
+                least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+                rows, columns = np.nonzero(scores >= np.maximum(least, self.floor)[:, None])
+            else:
+                rows, columns = np.nonzero(scores >= self.floor)
+            found.append(_best(rows + low, ids[columns], scores[rows, columns], self.k))
+        self.rows = _best(*(np.concatenate(part) for part in zip(*found)), self.k)
+
+    def frame(self, query_ids: np.ndarray) -> pd.DataFrame:
+        queries, ids, scores = self.rows
+        columns = {"query_id": query_ids[queries], "chunk_id": ids, "score": scores}
+        return pd.DataFrame({name: pd.Series(values, dtype=values.dtype) for name, values in columns.items()})
+
+
+def _hits(queries: DataFrame, vectors: DataFrame) -> StructType:
+    """query_id and chunk_id in their own types, and the score."""
+    return StructType(
+        [
+            StructField("query_id", queries.schema["query_id"].dataType),
+            StructField("chunk_id", vectors.schema["chunk_id"].dataType),
+            StructField("score", DoubleType()),
+        ]
     )
 
 
@@ -87,76 +119,55 @@ def cosine_top_k(
 ) -> DataFrame:
     """Exact cosine top-k of many queries.
 
-    ``vectors``: chunk_id, embedding.  ``queries``: query_id, embedding.  Every
-    task multiplies its Arrow batches with the query matrix and keeps ``k`` rows
-    per query, so no pair leaves the task that cannot win.  A query set beyond
-    ``max_matrix_bytes`` is not broadcast: it is cut into blocks that meet
-    blocks of vectors in a cogrouped job, with the same result.
+    ``vectors``: chunk_id, embedding.  ``queries``: query_id, embedding; ids are
+    of any type.  Blocks of queries, of at most ``max_matrix_bytes``, meet blocks
+    of vectors, hashed by id so that their number grows with both sides; a task
+    keeps the ``k`` best rows per query while it reads, so its memory does not
+    grow with its block.
     """
     if k <= 0:
-        raise ValueError("top_k must be positive")
+        raise ValueError("k counts rows: 1 or more")
     if not -1 <= min_score <= 1:
-        raise ValueError("dense minimum score must be between minus one and one")
-    shape = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("w")).first()
-    total = (shape.n or 0) * (shape.w or 0) * 8
-    hits = (
-        _with_matrix(vectors, queries, k, min_score)
-        if total <= max_matrix_bytes
-        else _in_blocks(vectors, queries, k, min_score, total, max_matrix_bytes)
-    )
-    return lexical.top_k(hits, k)
-
-
-def _with_matrix(vectors: DataFrame, queries: DataFrame, k: int, floor: float) -> DataFrame:
-    held = queries.select("query_id", "embedding").toPandas()  # proven <= max_matrix_bytes
-    if held.empty:
-        return vectors.sparkSession.createDataFrame([], _HITS)
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (held["query_id"].to_numpy(), _stack(held["embedding"]))
-    )
-
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, matrix = shared.value
-        for batch in batches:
-            if len(batch):
-                yield _rank_block(
-                    matrix @ _stack(batch["embedding"]).T, query_ids, batch["chunk_id"].to_numpy(), k, floor
-                )
-
-    return vectors.select("chunk_id", "embedding").mapInPandas(block, _HITS)
-
-
-def _in_blocks(
-    vectors: DataFrame, queries: DataFrame, k: int, floor: float, total: int, max_bytes: int
-) -> DataFrame:
-    query_blocks = -(-total // max_bytes)
-    vector_blocks = max(8, query_blocks)
+        raise ValueError("min_score is a cosine: -1 to 1")
+    spark = vectors.sparkSession
+    asked = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("w")).first()
+    held = vectors.agg(F.count(F.lit(1)).alias("n")).first()
+    query_blocks = max(1, -(-(asked.n or 0) * (asked.w or 0) * 8 // max_matrix_bytes))
+    vector_blocks = max(1, -(-(held.n or 0) // BLOCK_VECTORS), spark.sparkContext.defaultParallelism // query_blocks)
     left = queries.select(
         "query_id",
         "embedding",
-        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb"),
+        F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"),
         F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))).alias("vb"),
     )
     right = vectors.select(
         "chunk_id",
         "embedding",
         F.pmod(F.xxhash64("chunk_id"), F.lit(vector_blocks)).cast("int").alias("vb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))).alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"),
     )
+    schema = _hits(queries, vectors)
 
     def block(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or held.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        scores = _stack(asked["embedding"]) @ _stack(held["embedding"]).T
-        return _rank_block(scores, asked["query_id"].to_numpy(), held["chunk_id"].to_numpy(), k, floor)
-
-    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(block, _HITS)
+        best = _RunningBest(k, min_score)
+        query_ids = asked["query_id"].to_numpy()
+        if len(asked) and len(held):
+            matrix = _stack(asked["embedding"])
+            for low in range(0, len(held), BATCH_VECTORS):
+                part = held.iloc[low : low + BATCH_VECTORS]
+                best.add(matrix, _stack(part["embedding"]), part["chunk_id"].to_numpy())
+        if best.rows is None:
+            best.rows = (np.empty(0, np.int64), held["chunk_id"].to_numpy()[:0], np.empty(0))
+        return best.frame(query_ids)
+
+    hits = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(block, schema)
+    return lexical.top_k(hits, k)
 
 
 def token_windows(tokens: Column, capacity: int, overlap: int) -> Column:
     """Overlapping windows; stops with the window that reaches the end."""
     if capacity <= 0 or overlap < 0 or overlap >= capacity:
-        raise ValueError("invalid token window configuration")
+        raise ValueError("windows need a capacity and a smaller overlap of 0 or more")
     step = capacity - overlap
     last = F.greatest(F.size(tokens) - F.lit(overlap) - 1, F.lit(0))
     return F.transform(
@@ -193,7 +204,7 @@ def encode_missing(
     checked = state.withColumn(
         "state",
         F.when(
-            F.col("state") == "stale", F.raise_error(F.lit("cached chunk id refers to different content"))
+            F.col("state") == "stale", F.raise_error(F.lit("the cache holds other text under this chunk id"))
         ).otherwise(F.col("state")),
     )
 
@@ -203,7 +214,7 @@ def encode_missing(
                 part = batch.iloc[start : start + batch_rows]
                 matrix = np.asarray(encode(part["text"].tolist()), dtype=np.float32)
                 if matrix.ndim != 2 or len(matrix) != len(part) or not np.isfinite(matrix).all():
-                    raise ValueError("embedder returned an invalid matrix")
+                    raise ValueError("encode has to give one finite vector for each text")
                 yield pd.DataFrame(
                     {
                         "chunk_id": part["chunk_id"].to_numpy(),
@@ -212,10 +223,17 @@ def encode_missing(
                     }
                 )
 
+    schema = StructType(
+        [
+            StructField("chunk_id", chunks.schema["chunk_id"].dataType),
+            StructField("text_sha256", StringType()),
+            StructField("embedding", ArrayType(FloatType())),
+        ]
+    )
     missing = (
         chunks.join(checked.where(F.col("state") == "miss"), "chunk_id", "left_semi")
         .select("chunk_id", "text", hashing.text_digest(F.col("text")).alias("text_sha256"))
-        .mapInPandas(run, "chunk_id bigint, text_sha256 string, embedding array<float>")
+        .mapInPandas(run, schema)
     )
     hits = cache.join(checked.where(F.col("state") == "hit"), "chunk_id", "left_semi")
     return hits.select("chunk_id", "text_sha256", "embedding").unionByName(missing)

@@ -61,69 +61,69 @@ candidates AS (
   FROM levels a JOIN levels b ON a.pos < b.pos, {source} GROUP BY a.signal, a.value, b.signal, b.value)"""
 
 
-BOUNDED_SQL = measurement.SIGNALS_SQL + """,
-bounded AS (SELECT doc_id, answerable, toxic, least(round(top_score / 5) * 5, 100.0) AS top_score,
-  round(normalized_margin, 1) AS normalized_margin, round(query_coverage, 2) AS query_coverage,
-  round(rare_query_coverage, 2) AS rare_query_coverage FROM doc_signals)"""
-
-
-def bounded_signals(spark: SparkSession, folder: str) -> DataFrame:
-    """Signals on a fixed scale, so that a grid has few levels at any size."""
-    return measurement.document_signals(spark, folder).select(
-        "doc_id",
-        "answerable",
-        "toxic",
-        F.least(F.round(F.col("top_score") / 5) * 5, F.lit(100.0)).alias("top_score"),
-        F.round("normalized_margin", 1).alias("normalized_margin"),
-        F.round("query_coverage", 2).alias("query_coverage"),
-        F.round("rare_query_coverage", 2).alias("rare_query_coverage"),
-    )
-
-
 @query(
     "two_signal_grid",
-    f"WITH {BOUNDED_SQL}, {_grid_sql('bounded')} SELECT condition_count, conditions, answerable_acceptance, unanswerable_abstention, balanced_accuracy FROM candidates",
+    f"WITH {measurement.SIGNALS_SQL}, {_grid_sql('doc_signals')} SELECT condition_count, conditions, answerable_acceptance, unanswerable_abstention, balanced_accuracy FROM candidates",
 )
 def two_signal_grid(spark: SparkSession, folder: str) -> DataFrame:
-    cases = bounded_signals(spark, folder)
-    calibration.require_levels(cases)
-    return calibration.grid(cases)
+    return calibration.grid(measurement.document_signals(spark, folder))
 
 
 @query(
     "multisignal_policy",
-    f"""WITH {BOUNDED_SQL}, {_grid_sql('bounded')}
+    f"""WITH {measurement.SIGNALS_SQL}, {_grid_sql('doc_signals')}
     SELECT conditions, condition_count, answerable_acceptance, unanswerable_abstention, balanced_accuracy FROM candidates
     WHERE answerable_acceptance >= {MIN_ACCEPTANCE}
     ORDER BY unanswerable_abstention DESC, balanced_accuracy DESC, condition_count, conditions DESC LIMIT 1""",
 )
 def multisignal_policy(spark: SparkSession, folder: str) -> DataFrame:
-    cases = bounded_signals(spark, folder)
-    calibration.require_levels(cases)
-    return calibration.best_conjunction(calibration.grid(cases), MIN_ACCEPTANCE)
+    cases = measurement.document_signals(spark, folder)
+    return calibration.best_conjunction(calibration.grid(cases, min_acceptance=MIN_ACCEPTANCE), MIN_ACCEPTANCE)
 
 
 FOLDS_SQL = f"""folded AS (SELECT *, (row_number() OVER (PARTITION BY answerable
-  ORDER BY sha256('{FOLD_SEED}' || chr(0) || doc_id)) - 1) % 5 AS fold FROM bounded)"""
+  ORDER BY sha256('{FOLD_SEED}' || chr(0) || doc_id)) - 1) % 5 AS fold FROM doc_signals)"""
 
 
-@query("kfold_assignment", f"WITH {BOUNDED_SQL}, {FOLDS_SQL} SELECT doc_id, answerable, fold FROM folded")
+@query("kfold_assignment", f"WITH {measurement.SIGNALS_SQL}, {FOLDS_SQL} SELECT doc_id, answerable, fold FROM folded")
 def kfold_assignment(spark: SparkSession, folder: str) -> DataFrame:
-    folded = calibration.folds(bounded_signals(spark, folder), "doc_id", 5, FOLD_SEED)
+    folded = calibration.folds(measurement.document_signals(spark, folder), "doc_id", 5, FOLD_SEED)
     return folded.select("doc_id", "answerable", "fold")
 
 
-@query("cross_validated_policy")
+def _cross_sql() -> str:
+    """Every candidate against every training case of every fold, then the best ones on the cases held out."""
+    names = measurement.SIGNAL_NAMES
+    levels = " UNION ALL ".join(
+        f"SELECT DISTINCT hold, '{n}' AS signal, {i} AS pos, {n} AS value FROM train WHERE {n} IS NOT NULL" for i, n in enumerate(names)
+    )
+    value = "CASE {0} " + " ".join(f"WHEN '{n}' THEN {n}" for n in names) + " END"
+    met = lambda signal, bound: f"coalesce(({value.format(signal)} >= {bound})::INT, 0)"
+    both = f"({met('a.signal', 'a.value')} * {met('b.signal', 'b.value')})"
+    return f"""train AS (SELECT h.fold AS hold, c.* FROM folded c, (SELECT DISTINCT fold FROM folded) h WHERE c.fold <> h.fold),
+levels AS ({levels}),
+candidates AS (
+  SELECT l.hold, 1 AS n, '[' || {_condition_sql('l.signal', 'l.value')} || ']' AS conditions, l.signal AS s1, l.value AS v1,
+    NULL AS s2, NULL AS v2, {RATES_SQL.replace('ok', met('l.signal', 'l.value'))}
+  FROM levels l JOIN train t ON t.hold = l.hold GROUP BY l.hold, l.signal, l.value
+  UNION ALL
+  SELECT a.hold, 2, '[' || {_condition_sql('a.signal', 'a.value')} || ', ' || {_condition_sql('b.signal', 'b.value')} || ']',
+    a.signal, a.value, b.signal, b.value, {RATES_SQL.replace('ok', both)}
+  FROM levels a JOIN levels b ON a.hold = b.hold AND a.pos < b.pos JOIN train t ON t.hold = a.hold
+  GROUP BY a.hold, a.signal, a.value, b.signal, b.value),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hold ORDER BY unanswerable_abstention DESC, balanced_accuracy DESC, n, conditions DESC) AS r
+  FROM candidates WHERE answerable_acceptance >= {MIN_ACCEPTANCE}) WHERE r = 1),
+predicted AS (SELECT f.fold, f.answerable, {met('s1', 'v1')} * CASE WHEN s2 IS NULL THEN 1 ELSE {met('s2', 'v2')} END AS ok
+  FROM folded f JOIN chosen c ON c.hold = f.fold)
+SELECT fold, count(*) AS case_count, {RATES_SQL} FROM predicted GROUP BY fold
+UNION ALL SELECT -1, count(*), {RATES_SQL} FROM predicted"""
+
+
+@query("cross_validated_policy", f"WITH {measurement.SIGNALS_SQL}, {FOLDS_SQL}, {_cross_sql()}")
 def cross_validated_policy(spark: SparkSession, folder: str) -> DataFrame:
-    """Micro-pooled metrics of five held-out folds, one row per fold and overall.
-
-    The statement over all candidates, cases and folds is too slow in SQL; the
-    result is checked against brute force on a fixture in the tests.
-    """
-    cases = bounded_signals(spark, folder)
-    calibration.require_levels(cases)
+    """Micro-pooled metrics of five held-out folds, one row per fold and overall."""
     predicted = calibration.cross_validate(
-        cases, "doc_id", fold_count=5, seed=FOLD_SEED, min_acceptance=MIN_ACCEPTANCE
+        measurement.document_signals(spark, folder), "doc_id", fold_count=5, seed=FOLD_SEED, min_acceptance=MIN_ACCEPTANCE
     )
     per_fold = calibration.prediction_metrics(predicted, ["fold"])
     overall = calibration.prediction_metrics(predicted).withColumn("fold", F.lit(-1).cast("bigint"))
@@ -182,7 +182,7 @@ def split_drift_check(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "split_fingerprint",
     f"""WITH {SPLIT_SQL}, h AS (SELECT sha256(doc_id || chr(0) || answerability) AS h FROM cases0)
-    SELECT count(*) AS case_count, {hashing.set_digest_sql('h')} AS fingerprint FROM h""",
+    SELECT rows AS case_count, fingerprint FROM ({hashing.set_digests_sql('h', '', 'h', 'fingerprint')})""",
 )
 def split_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint that detects any change of an id or label."""

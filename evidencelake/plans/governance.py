@@ -247,7 +247,8 @@ DIGEST_SQL = """sha256(concat_ws(chr(0), rule_id, version, subject, action, deci
 @query(
     "rule_publication_status",
     f"""WITH {PUBLICATION_SQL},
-    ids AS (SELECT rule_set, {hashing.set_digest_sql('h')} AS publication_id FROM (SELECT rule_set, {DIGEST_SQL} AS h FROM current) GROUP BY rule_set),
+    digests AS (SELECT rule_set, {DIGEST_SQL} AS h FROM current),
+    ids AS ({hashing.set_digests_sql('digests', 'rule_set', 'h', 'publication_id')}),
     clash AS (SELECT a.rule_set, bool_or(a.decision <> b.decision) AS conflict FROM current a JOIN current b ON a.rule_set = b.rule_set
       AND a.subject = b.subject AND a.action = b.action AND a.priority = b.priority AND a.rule_id < b.rule_id
       AND greatest(a.effective_from, b.effective_from) <= least(coalesce(a.effective_until, date '9999-12-31'), coalesce(b.effective_until, date '9999-12-31'))

@@ -115,21 +115,17 @@ def ranking_metrics_by_label(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hybrid_outcomes_sql() -> str:
-    parts = [f"WITH {retrieval.hybrid_sql()}, {inputs.RELEVANCE_SQL}",
-             "crel AS (SELECT rel.* FROM rel JOIN corpus ON doc_id = chunk_id JOIN asked ON item_id = query_id)"]
+    parts = [f"WITH {retrieval.hybrid_sql()}, {inputs.RELEVANCE_SQL}"]
     for name, source in (("bm25", "ranked"), ("dense", "dense"), ("hybrid", "fused"), ("rerank", "reranked")):
         parts.append(f"best_{name} AS (SELECT * FROM {source} WHERE rank <= 5)")
-        parts.append(outcomes_sql(f"best_{name}", "crel", "chunk_id", f"o_{name}").replace("FROM benchmark", "FROM asked"))
+        parts.append(outcomes_sql(f"best_{name}", "rel", "chunk_id", f"o_{name}"))
     return ",\n".join(parts)
 
 
 def hybrid_outcomes(spark: SparkSession, folder: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
     lists = retrieval.hybrid_lists(spark, folder)
-    asked = retrieval.question_vectors(spark, folder).select("query_id")
-    held = retrieval.passages(spark, folder).select("chunk_id")
-    relevant = (
-        inputs.relevance(spark, folder).join(held, "chunk_id", "left_semi").join(asked, "query_id", "left_semi")
-    )
+    asked = inputs.questions(spark, folder).select("query_id")
+    relevant = inputs.relevance(spark, folder)
     return {name: metrics.outcomes(lists[name], relevant, asked) for name in names}
 
 

@@ -204,11 +204,8 @@ asked AS (SELECT b.item_id, b.text, e.embedding::DOUBLE[] AS vec
 
 
 def hybrid_sql() -> str:
-    """Lexical, dense, fused and reranked lists over documents with vectors."""
-    lexical_part = inputs.bm25_sql().replace("FROM documents", "FROM corpus").replace(
-        "JOIN documents", "JOIN corpus"
-    ).replace("FROM benchmark", "FROM asked")
-    return f"""{HYBRID_SQL}, {lexical_part},
+    """Lexical, dense, fused and reranked lists over all documents."""
+    return f"""{HYBRID_SQL}, {inputs.bm25_sql()},
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT a.item_id AS query_id, c.doc_id AS chunk_id, round(list_dot_product(a.vec, c.vec), 9) AS score
   FROM asked a, corpus c) WHERE score >= 0),
@@ -217,32 +214,30 @@ shares AS (SELECT query_id, chunk_id, 1.0 / (60 + rank) AS share FROM ranked WHE
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT query_id, chunk_id, round(sum(share), 9) AS score FROM shares GROUP BY ALL)),
 cand AS (SELECT r.query_id, r.chunk_id, r.rank, row_number() OVER (PARTITION BY r.query_id
-    ORDER BY round(list_dot_product(a.vec, c.vec), 9) DESC, r.chunk_id) AS srank
-  FROM ranked r JOIN asked a ON a.item_id = r.query_id JOIN corpus c ON c.doc_id = r.chunk_id WHERE r.rank <= 20),
+    ORDER BY coalesce(round(list_dot_product(a.vec, c.vec), 9), -2.0) DESC, r.chunk_id) AS srank
+  FROM ranked r LEFT JOIN asked a ON a.item_id = r.query_id LEFT JOIN corpus c ON c.doc_id = r.chunk_id WHERE r.rank <= 20),
 reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
   SELECT query_id, chunk_id, round(1.0 / (60 + rank) + 1.0 / (60 + srank), 9) AS score FROM cand))"""
 
 
 def hybrid_lists(spark: SparkSession, folder: str, k: int = TOP_K) -> dict[str, DataFrame]:
-    """The four retrievers over documents that have a vector."""
+    """The four retrievers over all documents and questions; the dense one reaches those with a vector."""
     held = passages(spark, folder)
-    corpus = inputs.chunks(spark, folder).join(held.select("chunk_id"), "chunk_id", "left_semi")
+    corpus = inputs.chunks(spark, folder)
     asked_vectors = question_vectors(spark, folder)
-    asked = inputs.questions(spark, folder).join(asked_vectors.select("query_id"), "query_id", "left_semi")
+    asked = inputs.questions(spark, folder)
     corpus_vectors = held.join(corpus.select("chunk_id"), "chunk_id", "left_semi")
     deep = fusion.depth(k)
     lexical_list = lexical.search(corpus, asked, k=deep)
     dense_list = vectors.cosine_top_k(corpus_vectors, asked_vectors, deep)
     small = sizing.fits(asked, sizing.DEFAULT_ROWS // deep)
+    # without a vector on both sides a candidate is less alike than any with one
+    alike = F.round(vectors.dot(F.col("asked"), F.col("embedding")), lexical.SCORE_DIGITS)
     candidates = (
-        held.join(sizing.hint(lexical_list.select("query_id", "chunk_id", "rank"), small), "chunk_id")
-        .join(sizing.hint(asked_vectors.withColumnRenamed("embedding", "asked"), small), "query_id")
-        .select(
-            "query_id",
-            "chunk_id",
-            "rank",
-            F.round(vectors.dot(F.col("asked"), F.col("embedding")), lexical.SCORE_DIGITS).alias("similarity"),
-        )
+        lexical_list.select("query_id", "chunk_id", "rank")
+        .join(held, "chunk_id", "left")
+        .join(sizing.hint(asked_vectors.withColumnRenamed("embedding", "asked"), small), "query_id", "left")
+        .select("query_id", "chunk_id", "rank", F.coalesce(alike, F.lit(-2.0)).alias("similarity"))
     )
     return {
         "bm25": lexical_list.where(F.col("rank") <= k),

@@ -1,14 +1,12 @@
 """Plug-in boundary for binary formats.
 
-Decoders for PDF, XLS and XLSX need libraries that may be absent; each is loaded
-in the task that uses it.  A file that fails becomes a row with an error type,
-it never fails the job.
+Decoders of binary formats are functions of the caller, looked up by media type
+(without parameters, in lower case).  A file that fails becomes a row with an
+error type, it never fails the job.
 """
 
 from __future__ import annotations
 
-import importlib
-import io
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.functions import hashing
+from evidencelake.operators import catalog
 
 # a parser yields (page, section, row, kind, text) for one file
 Parser = Callable[[bytes], Iterator[tuple[int | None, str | None, int | None, str, str]]]
@@ -24,56 +23,6 @@ _SCHEMA = (
 )
 
 
-def render_cell(value: object) -> str:
-    """Text of a sheet cell: ISO dates, blanks for breaks, nothing for empty."""
-    if value is None:
-        return ""
-    if hasattr(value, "isoformat"):
-        return value.isoformat()
-    flat = str(value)
-    for mark in ("\t", "\r", "\n"):
-        flat = flat.replace(mark, " ")
-    return flat.strip()
-
-
-def render_legacy_cell(value: object) -> str:
-    """Legacy sheets: lower-case booleans and whole numbers without decimals."""
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, float) and value.is_integer():
-        return str(int(value))
-    return render_cell(value)
-
-
-def row_text(cells: list[str]) -> str | None:
-    """Tab-joined cells without trailing empty ones; NULL for an empty row."""
-    joined = "\t".join(cells).rstrip("\t")
-    return joined if joined.strip("\t") else None
-
-
-def xlsx_rows(content: bytes) -> Iterator[tuple]:
-    """Rows of a workbook; formulas stay text."""
-    module = importlib.import_module("openpyxl")
-    book = module.load_workbook(io.BytesIO(content), read_only=True, data_only=False, keep_links=False)
-    for sheet in book.worksheets:
-        for number, row in enumerate(sheet.iter_rows(values_only=True), start=1):
-            text = row_text([render_cell(cell) for cell in row])
-            if text is not None:
-                yield None, sheet.title, number, "table", text
-
-
-def pdf_blocks(content: bytes) -> Iterator[tuple]:
-    """Text blocks of a PDF in reading order."""
-    module = importlib.import_module("pymupdf")
-    with module.open(stream=content, filetype="pdf") as pdf:
-        if pdf.needs_pass:
-            raise ValueError("encrypted PDF requires a password")
-        for number, page in enumerate(pdf, start=1):
-            for block in page.get_text("blocks", sort=True):
-                if int(block[6]) == 0 and str(block[4]).strip():
-                    yield number, None, None, "paragraph", str(block[4]).strip()
-
-
 def parse_files(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
     """Elements of binary files; ``files``: document_id, media_type, content.
 
@@ -95,8 +44,8 @@ def parse_files(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
                     rows, columns=["document_id", "ordinal", "page", "section", "row", "kind", "text", "error_type"]
                 ).astype({"ordinal": "Int32", "page": "Int32", "row": "Int32"})
 
-    # few files per batch: contents are large
-    parsed = files.select("document_id", "media_type", "content").mapInPandas(run, _SCHEMA)
+    kind = catalog.normalize_media_type(F.col("media_type")).alias("media_type")
+    parsed = files.select("document_id", kind, "content").mapInPandas(run, _SCHEMA)
     identity = F.when(
         F.col("row").isNotNull(),
         hashing.short_id("el", F.col("document_id"), F.col("section"), F.col("row").cast("string"), F.col("text")),

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from evidencelake.functions import validity
 from evidencelake.operators import catalog, metrics
 
-CATALOG_SCHEMA = (
-    "schema_version int, entries array<struct<document_id:string,content_sha256:string,relative_paths:array<string>,"
-    "media_type:string,size_bytes:bigint,review_status:string,title:string,family:string,organization:string,"
-    "version:string,published_at:string,effective_from:string,effective_until:string,supersedes:array<string>>>"
+ENTRY_FIELDS = (
+    "document_id string, content_sha256 string, relative_paths array<string>, media_type string, size_bytes bigint, "
+    "review_status string, title string, family string, organization string, version string, published_at string, "
+    "effective_from string, effective_until string, supersedes array<string>"
 )
+CATALOG_SCHEMA = f"schema_version int, entries array<struct<{', '.join(f.replace(' ', ':', 1) for f in ENTRY_FIELDS.split(', '))}>>"
 CHUNK_SCHEMA = (
     "schema_version int, reference_date string, document struct<document_id:string,version:string,effective_from:string,"
     "effective_until:string,media_type:string,metadata:map<string,string>>, chunk struct<chunk_id:string,document_id:string,"
@@ -36,9 +37,15 @@ def _require(df: DataFrame, bad, message: str) -> None:
 
 def read_catalog(spark: SparkSession, path: str, *, validate: bool = True) -> DataFrame:
     """Catalog document as entry rows; rejected when any rule is broken."""
-    document = spark.read.schema(CATALOG_SCHEMA).option("multiLine", True).json(path)
-    _require(document, ~F.col("schema_version").eqNullSafe(1), "unsupported catalog schema")
-    entries = document.select(F.inline("entries"))
+    parts = spark.read.format("binaryFile").load(path).where(F.col("path").rlike("/part-[^/]*$"))
+    if parts.select("path").limit(1).count():  # as write_catalog leaves it: an entry a line
+        found = spark.read.schema(f"schema_version int, {ENTRY_FIELDS}").json(path)
+        _require(found, ~F.col("schema_version").eqNullSafe(1), "the catalog is not of schema version 1")
+        entries = found.drop("schema_version")
+    else:
+        document = spark.read.schema(CATALOG_SCHEMA).option("multiLine", True).json(path)
+        _require(document, ~F.col("schema_version").eqNullSafe(1), "the catalog is not of schema version 1")
+        entries = document.select(F.inline("entries"))
     dates = ("published_at", "effective_from", "effective_until")
     for name in dates:
         parsed = validity.catalog_date(F.col(name))
@@ -47,15 +54,15 @@ def read_catalog(spark: SparkSession, path: str, *, validate: bool = True) -> Da
     entries = entries.withColumn("supersedes", F.coalesce("supersedes", F.array().cast("array<string>")))
     _require(entries, ~F.col("review_status").isin(*REVIEW_STATES), "unknown review status")
     if validate:
-        catalog.require_empty(catalog.violations(entries), "catalog is invalid")
+        catalog.require_empty(catalog.violations(entries), "a catalog rule is broken")
         links = entries.select("document_id", F.explode("supersedes").alias("target"))
-        catalog.require_empty(catalog.on_or_before_cycle(links), "supersession relationship contains a cycle")
+        catalog.require_empty(catalog.on_or_before_cycle(links), "documents supersede each other in a circle")
     return entries
 
 
 def write_catalog(entries: DataFrame, target: str) -> None:
-    """Entry rows as JSON lines; large catalogs are never one document."""
-    entries.write.mode("overwrite").json(target)
+    """Entry rows as JSON lines in a new folder, which read_catalog reads; an old catalog is never replaced in place."""
+    entries.select(F.lit(1).alias("schema_version"), *entries.columns).write.mode("errorifexists").json(target)
 
 
 def write_chunks(chunks: DataFrame, target: str) -> None:
@@ -99,7 +106,7 @@ def unique_chunks(rows: DataFrame) -> DataFrame:
         F.min("page").alias("page"), F.min("section").alias("section"),
     )
     checked = F.when(
-        F.col("text") != F.col("other"), F.raise_error(F.lit("snapshot chunk id refers to different content"))
+        F.col("text") != F.col("other"), F.raise_error(F.lit("two snapshots hold other text under one chunk id"))
     ).otherwise(F.col("text"))
     return grouped.withColumn("text", checked).drop("other")
 

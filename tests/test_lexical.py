@@ -21,7 +21,7 @@ QUERIES = [(1, "prazo da regra px-101"), (2, "API API glosa"), (3, "nada aqui"),
 def tokenize(value):
     import re
 
-    return re.findall(text.RETRIEVAL_TOKEN, text.python_fold(value))
+    return re.findall(text.RETRIEVAL_TOKEN, "".join(map(text.folded_character, value)))
 
 
 def brute(rows, query, k, k1=1.5, b=0.75):

@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from evidencelake.functions import stats
+from evidencelake.functions import hashing, stats
 from evidencelake.operators import calibration
 
 SCHEMA = "id bigint, answerable boolean, top_score double, normalized_margin double, query_coverage double, rare_query_coverage double"
@@ -118,10 +118,22 @@ def test_cross_validation_equals_brute_force(spark):
                 assert got[r[0]] == (f, accepted)
 
 
-def test_too_many_levels_are_refused(spark):
-    df = spark.createDataFrame([(i, i % 2 == 0, float(i), 0.1, 0.1, 0.1) for i in range(400)], SCHEMA)
-    with pytest.raises(ValueError, match="top_score"):
-        calibration.require_levels(df, limit=50)
+def test_pruned_pairs_keep_the_best_policy(spark):
+    for seed in (1, 4, 8):
+        df = spark.createDataFrame(case_rows(60, seed=seed), SCHEMA)
+        full = calibration.best_conjunction(calibration.grid(df), 0.7).collect()
+        pruned = calibration.grid(df, min_acceptance=0.7)
+        assert calibration.best_conjunction(pruned, 0.7).collect() == full
+        assert pruned.count() < calibration.grid(df).count()
+
+
+def test_set_digests_tell_repeats_apart(spark):
+    def identity(rows):
+        df = spark.createDataFrame([("s", hashlib.sha256(r.encode()).hexdigest()) for r in rows], "k string, h string")
+        return hashing.set_digests(df, ["k"], "h", "id").first()["id"]
+
+    assert identity(["a", "b", "c"]) == identity(["c", "a", "b"])
+    assert len({identity(x) for x in (["a", "a"], ["b", "b"], ["a", "b"], ["a"], ["a", "a", "a"], ["c"])}) == 6
 
 
 def test_split_partitions_and_drift(spark):

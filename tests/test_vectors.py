@@ -29,13 +29,24 @@ def test_cosine_top_k_equals_numpy(spark, limit):
         assert [r.chunk_id for r in got if r.query_id == q] == order
 
 
+def test_ids_of_any_type_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE_CELLS", 8)
+    monkeypatch.setattr(vectors, "BATCH_VECTORS", 3)
+    held = [(f"c{i:02d}", [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(20)]
+    df = spark.createDataFrame(held, "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [0.0, 1.0])], "query_id string, embedding array<double>")
+    got = vectors.cosine_top_k(df, asked, 4).orderBy("query_id", "rank").collect()
+    assert [r.chunk_id for r in got] == ["c01", "c02", "c04", "c05", "c00", "c03", "c06", "c09"]
+    assert vectors.cosine_top_k(df, asked.limit(0), 4).count() == 0
+
+
 def test_window_mean_and_zero_vectors(spark):
     rows = [("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [0.0, 3.0])]
     df = spark.createDataFrame(rows, "owner string, v array<double>")
     got = {r.owner: r.v for r in vectors.window_mean(df, "owner", "v").collect()}
     assert got["a"] == pytest.approx([0.5**0.5, 0.5**0.5]) and got["b"] == [0.0, 1.0]
     zero = spark.createDataFrame([("z", [1.0, 0.0]), ("z", [-1.0, 0.0])], "owner string, v array<double>")
-    with pytest.raises(Exception, match="zero vector"):
+    with pytest.raises(Exception, match="no direction"):
         vectors.window_mean(zero, "owner", "v").collect()
 
 
@@ -70,7 +81,7 @@ def test_cache_encodes_only_misses(spark):
     got = {r.chunk_id: r.embedding for r in vectors.encode_missing(chunks, cache, encode).collect()}
     assert got == {1: [9.0, 9.0], 2: [4.0, 0.0]}
     stale = cache.withColumn("text_sha256", F.lit(digest("outro")))
-    with pytest.raises(Exception, match="different content"):
+    with pytest.raises(Exception, match="other text"):
         vectors.encode_missing(chunks, stale, encode).collect()
 
 
