@@ -35,6 +35,7 @@ def main() -> None:
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "16g"),
             "spark.sql.files.maxPartitionBytes": "2m",
             "spark.sql.files.openCostInBytes": "262144",
+            "spark.evidencelake.spreadTexts": "true",  # the given tables are single row groups
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

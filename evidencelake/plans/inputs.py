@@ -15,8 +15,17 @@ FOLD_SQL = "strip_accents(replace(lower({0}), 'ß', 'ss'))"
 TOKENS_SQL = "regexp_extract_all(strip_accents(replace(lower({0}), 'ß', 'ss')), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
 
 
+#: Session setting: deal the rows of text tables to all cores after reading. For tables of one row group, which no
+#: scan can split; off unless set, and never chosen by size.
+SPREAD = "spark.evidencelake.spreadTexts"
+_TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "orders": ["o_orderkey"]}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    if name in _TEXT_KEYS and spark.conf.get(SPREAD, "false") == "true":
+        return rows.repartition(spark.sparkContext.defaultParallelism, *_TEXT_KEYS[name])
+    return rows
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
