@@ -172,8 +172,9 @@ c as (
     length(joined) - length(regexp_replace(joined, '\p{{Nd}}', '', 'g')) as digit, length(text) - length(joined) as space,
     length(joined) - length(regexp_replace(joined, '[.,;:!?''"()-]', '', 'g')) as mark,
     length(regexp_replace(joined, '[\p{{Ll}}\p{{Lu}}\p{{Nd}}.,;:!?''"()-]', '', 'g')) as other from m),
-w as (select doc_id, unnest(range(1, n_words - 1)) as i, words from m where n_words >= 3),
-v as (select doc_id, i, count(*) over (partition by doc_id, words[i], words[i + 1], words[i + 2]) as again from w),
+w as (select doc_id, unnest(range(1, n_words - 1)) as i,
+    unnest(list_transform(range(1, n_words - 1), lambda i: words[i] || chr(1) || words[i + 1] || chr(1) || words[i + 2])) as three from m where n_words >= 3),
+v as (select doc_id, i, count(*) over (partition by doc_id, three) as again from w),
 r as (select doc_id, count(distinct p)::bigint as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from v where again > 1) group by 1),
 f as (select language, word, count(*) as n from (select language, unnest(words) as word from m) group by all),
 t as (select language, sum(n) as total from f group by 1),
