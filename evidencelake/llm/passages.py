@@ -89,20 +89,22 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-CHUNK = {"digest": pa.int64(), "doc_id": pa.int64(), "version": pa.int32(), "start": pa.int32(), "size": pa.int32(), "before": pa.int32(), "after": pa.int32()}
+#: `at` holds a chunk's start (31 bits), size (9), and hashes of what stands before and after it (12 each; NONE: too little).
+CHUNK = {"digest": pa.int64(), "doc_id": pa.int64(), "version": pa.int32(), "at": pa.int64()}
+NONE = 0xFFF
 HIT = "doc_id long, version int, start int, size int, first_doc long, first_version int, first_start int"
 
 
 def _around(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """12-bit hashes of the CONTEXT bytes before each place; -1 where a text has fewer."""
+    """Hashes below NONE of the CONTEXT bytes before each place; NONE where a text has fewer."""
     with np.errstate(over="ignore"):
         grams, width = common.mix(text.astype(np.uint64) + np.uint64(11)), 1
         while width < CONTEXT and len(grams) > width:
             grams = grams[:-width] * np.uint64(pow(0x9E3779B97F4A7C15, width, 1 << 64)) + grams[width:]
             width *= 2
-        found = np.full(len(ends), -1, dtype=np.int32)
+        found = np.full(len(ends), NONE, dtype=np.uint64)
         some = ends >= CONTEXT
-        found[some] = (common.mix(grams[ends[some] - CONTEXT]) >> np.uint64(52)).astype(np.int32)
+        found[some] = common.mix(grams[ends[some] - CONTEXT]) % np.uint64(NONE)
     return found
 
 
@@ -112,23 +114,23 @@ def chunks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             texts = _bytes(batch["text"])
-            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+            parts: list[list[np.ndarray]] = [[], []]
             for text, bounds in zip(texts, cuts(texts), strict=True):
                 data = np.frombuffer(text, dtype=np.uint8)
                 around = _around(data, np.append(bounds, np.minimum(bounds + CONTEXT, len(data))))
-                beyond = np.where(bounds + CONTEXT <= len(data), around[len(bounds) :], -1)
+                beyond = np.where(bounds + CONTEXT <= len(data), around[len(bounds) :], np.uint64(NONE))
                 digests = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                columns = (np.array(digests, dtype=np.uint64).view(np.int64), bounds[:-1], np.diff(bounds), around[: len(bounds) - 1], beyond[1:])
-                for part, column in zip(parts, columns, strict=True):
-                    part.append(column)
+                at = bounds[:-1].astype(np.uint64) << np.uint64(33) | np.minimum(np.diff(bounds), 511).astype(np.uint64) << np.uint64(24)
+                at |= around[: len(bounds) - 1] << np.uint64(12) | beyond[1:]
+                parts[0].append(np.array(digests, dtype=np.uint64).view(np.int64))
+                parts[1].append(at.view(np.int64))
             counts = np.array([len(x) for x in parts[0]])
             row = pa.array(np.repeat(np.arange(len(counts)), counts))
-            digest, *others = [np.concatenate(x) for x in parts]
-            values = [pa.array(digest), batch["doc_id"].take(row), batch["version"].take(row), *(pa.array(x.astype(np.int32)) for x in others)]
+            values = [pa.array(np.concatenate(parts[0])), batch["doc_id"].take(row), batch["version"].take(row), pa.array(np.concatenate(parts[1]))]
             yield pa.RecordBatch.from_arrays(values, list(CHUNK))
 
     narrow = _rows(docs).select("doc_id", _version(), "text")
-    return narrow.mapInArrow(run, "digest long, doc_id long, version int, start int, size int, before int, after int")
+    return narrow.mapInArrow(run, "digest long, doc_id long, version int, at long")
 
 
 def _version():
@@ -136,13 +138,18 @@ def _version():
     return F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("version")
 
 
+def _unpacked(at: np.ndarray) -> tuple[np.ndarray, ...]:
+    at = at.view(np.uint64)
+    return tuple((at >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64) for shift, bits in ((33, 31), (24, 9), (12, 12), (0, 12)))
+
+
 def found_again(rows: DataFrame) -> DataFrame:
     """Chunks that a document with a lesser id holds too, with the bytes before or after them, and where.
 
     The rows of a digest lie together, the least document first; they are read in order and not gathered. A stretch of
     2 * WINDOW + 32 bytes around a chunk of WINDOW reaches CONTEXT bytes beyond it on one side at least.
     """
-    keys = ["digest", "doc_id", "version", "start"]
+    keys = ["digest", "doc_id", "version", "at"]
     dealt = rows.repartition("digest").sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +161,12 @@ def found_again(rows: DataFrame) -> DataFrame:
             first = np.repeat(starts, np.diff(np.append(starts, data.shape[1])))
             head = data[:, first[-1:]]
             other = data[:, first]
-            near = ((data[5] == other[5]) & (data[5] >= 0)) | ((data[6] == other[6]) & (data[6] >= 0)) | (data[4] >= LONG)
+            start, size, before, after = _unpacked(data[3])
+            first_start, _, first_before, first_after = _unpacked(other[3])
+            near = ((before == first_before) & (before != NONE)) | ((after == first_after) & (after != NONE)) | (size >= LONG)
             again = (data[1] != other[1]) & near
-            columns = [pa.array(data[i, again], CHUNK[n]) for i, n in ((1, "doc_id"), (2, "version"), (3, "start"), (4, "size"))]
-            columns += [pa.array(other[i, again], CHUNK[n]) for i, n in ((1, "doc_id"), (2, "version"), (3, "start"))]
+            found = ((data[1], pa.int64()), (data[2], pa.int32()), (start, pa.int32()), (size, pa.int32()), (other[1], pa.int64()), (other[2], pa.int32()), (first_start, pa.int32()))
+            columns = [pa.array(values[again], kind) for values, kind in found]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in HIT.split(", ")])
 
     return dealt.mapInArrow(run, HIT)
