@@ -1,10 +1,13 @@
 """Repeated passages by content-defined chunking.
 
-A gear hash rolls over a text's bytes; a cut is where it is least in some window of WINDOW places, so cuts depend on
-the bytes near them alone, no chunk is longer than WINDOW, and an insertion changes only the chunks around it. Chunks
-are deduplicated by digest: of equal chunks the one in the document with the least id stays, and runs of chunks that
-other documents hold again are extended byte by byte along the two texts to whole passages. A shared passage of
-2 * WINDOW + 32 bytes holds a whole shared chunk for certain.
+A gear hash rolls over a text's bytes; a cut is at the start of a word where it is least in some window of a number of
+word starts, so cuts depend on the bytes near them alone, and an insertion changes only the chunks around it. A chunk
+is known by the digest of the words that follow its cut, as many as any passage of `min_words` words holds after its
+first cut (`shape`): such a passage holds a whole chunk for certain, however short its words.
+
+Chunks whose digest two documents hold choose where to look closely: there the digest of each window of `min_words`
+words is compared with all others, and the document with the least id that holds the window is the one its text is laid
+on. Equal stretches are extended byte by byte along the two texts to whole passages.
 
 Defined results: a null text is an empty one; rows with one doc_id are versions of one document, between which no
 passage is sought; a null doc_id is one (the first) document; a text repeated in full is one passage if it is long
@@ -18,17 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.llm import common
 
-WINDOW, REACH = 96, 32
+#: Bytes that the gear hash reaches back, and bytes within which stretches found again are laid on a text together.
+REACH, WINDOW = 16, 96
 MIN_WORDS = 50
-#: How far beyond shared chunks a shared passage can reach: one chunk, and what a text's end hides of another.
-MARGIN = 2 * WINDOW + REACH
-#: Bytes beside a chunk that have to be shared on one side, and the size from which a chunk needs none.
-CONTEXT, LONG = 64, WINDOW + 1
 #: Stands for a null doc_id inside.
 NO_ID = -(2**63)
 GEAR = (common.mix(np.arange(256, dtype=np.uint64) + np.uint64(7)) >> np.uint64(32)).astype(np.uint32)
@@ -46,40 +46,62 @@ def _slide(values: np.ndarray, width: int, best) -> np.ndarray:
     return best(values[: len(values) - (width - span)], values[width - span :]) if span < width else values
 
 
-def cuts(texts: list[bytes]) -> list[np.ndarray]:
-    """Where each text's chunks begin and end: from 0 to its length."""
+def shape(min_words: int) -> tuple[int, int, int]:
+    """Bytes that the hash reaches back, word starts in a window, words in a digest.
+
+    Of the words of a passage, the first reach // 2 may start less than `reach` bytes after its start, so that their
+    hashes depend on what stands before it; the window of word starts after them holds a cut; the words from that cut
+    on to the passage's end are as many as the digest takes.
+    """
+    reach = REACH
+    while reach > 1 and reach > min_words // 3:
+        reach //= 2
+    clear = min_words - reach // 2
+    window = max(1, clear * 5 // 8)
+    return reach, window, clear - window + 1
+
+
+def _words_at(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end."""
+    edges = np.diff(np.concatenate([[False], ~WHITE[data], [False]]).astype(np.int8))
+    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+
+
+def _rolled(texts: list[bytes], reach: int) -> tuple[np.ndarray, ...]:
+    """Word starts of all texts: place, text and gear hash; and where the texts begin."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     gap = b"\0" * REACH
-    data = np.frombuffer(gap.join(texts) + gap + b"\0" * WINDOW, dtype=np.uint8)
-    starts = np.cumsum(sizes + REACH) - sizes - REACH
+    # a blank after the zeros, so that a text's first sign starts a word
+    data = np.frombuffer(b"".join(gap + b" " + t for t in texts), dtype=np.uint8)
+    starts = np.cumsum(sizes + REACH + 1) - sizes
     rolled, step = GEAR[data], 1
-    while step < REACH:  # the shift drops what lies further back than 32 bytes
+    while step < reach:  # the shift drops what lies further back than 32 bytes, this stops sooner
         rolled[step:] += rolled[:-step] << np.uint32(step)
         step *= 2
     rolled ^= rolled >> np.uint32(16)
     rolled *= np.uint32(0x85EBCA6B)
     rolled ^= rolled >> np.uint32(13)
-    least = _slide(rolled, WINDOW, np.minimum)
-    row = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(row)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    left = np.repeat(starts + sizes, sizes) - place
-    whole = np.zeros(len(data), dtype=np.uint32)
-    inside = place[left >= WINDOW]
-    whole[inside] = least[inside]  # windows that lie in one text
-    top = _slide(np.concatenate([np.zeros(WINDOW - 1, np.uint32), whole]), WINDOW, np.maximum)
-    at = place[(top[place] == rolled[place]) & (top[place] > 0)]
-    # equal values in a row (repeated signs) would cut everywhere: of a run, one in half a window stays
-    value, owner = rolled[at], np.searchsorted(starts, at, side="right") - 1
-    fresh = np.ones(len(at), dtype=bool)
-    fresh[1:] = (value[1:] != value[:-1]) | (np.diff(at) > WINDOW) | (owner[1:] != owner[:-1])
-    begin = at[fresh][np.cumsum(fresh) - 1] if len(at) else at
-    part = (at - begin) // (WINDOW // 2)
-    keep = fresh.copy()
-    keep[1:] |= part[1:] != part[:-1]
-    at, owner = at[keep], owner[keep]
+    solid = ~WHITE[data]
+    at = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
+    owner = np.searchsorted(starts, at, side="right") - 1
+    fine = (owner >= 0) & (at < (starts + sizes)[owner])  # the zeros between texts are no words of theirs
+    return at[fine], owner[fine], rolled[at[fine]], starts
+
+
+def cuts(texts: list[bytes], min_words: int = MIN_WORDS) -> list[np.ndarray]:
+    """Where each text's chunks begin and end: from 0 to its length."""
+    reach, window, _ = shape(min_words)
+    at, owner, rolled, starts = _rolled(texts, reach)
+    chosen = np.zeros(len(at), dtype=bool)
+    if len(at) >= window:
+        least = _slide(rolled, window, np.minimum).astype(np.int64)
+        least[owner[: len(least)] != owner[window - 1 :]] = -1  # windows that lie in one text
+        edge = np.full(window - 1, -1, dtype=np.int64)
+        chosen = _slide(np.concatenate([edge, least, edge]), window, np.maximum) == rolled
+    at, owner = at[chosen], owner[chosen]
     edges = np.searchsorted(owner, np.arange(len(texts) + 1))
     out = []
-    for i, size in enumerate(sizes):
+    for i, size in enumerate(map(len, texts)):
         own = at[edges[i] : edges[i + 1]] - starts[i]
         out.append(np.concatenate([[0], own[(own > 0) & (own < size)], [size]]) if size else np.zeros(1, dtype=np.int64))
     return out
@@ -89,48 +111,81 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x.encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-#: `at` holds a chunk's start (31 bits), size (9), and hashes of what stands before and after it (12 each; NONE: too little).
-CHUNK = {"digest": pa.int64(), "doc_id": pa.int64(), "version": pa.int32(), "at": pa.int64()}
-NONE = 0xFFF
-HIT = "doc_id long, version int, start int, size int, first_doc long, first_version int, first_start int"
+def _digests(text: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    found = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    return np.array(found, dtype=np.uint64).view(np.int64)
+
+
+def _chunks(text: bytes, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words that a text's chunks begin with, and the chunks' digests; without those that too few words follow."""
+    first = np.searchsorted(starts, bounds[:-1])
+    first = first[first + many <= len(starts)]
+    return first, _digests(text, starts[first], ends[first + many - 1])
+
 
+KEY = {"digest": pa.int64(), "doc_id": pa.int64(), "version": pa.int32()}
+PLACE = {**KEY, "start": pa.int32(), "size": pa.int32()}
+HIT = {"doc_id": pa.int64(), "version": pa.int32(), "start": pa.int32(), "size": pa.int32(), "first_doc": pa.int64(), "first_version": pa.int32(), "first_start": pa.int32()}
 
-def _around(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes below NONE of the CONTEXT bytes before each place; NONE where a text has fewer."""
-    with np.errstate(over="ignore"):
-        grams, width = common.mix(text.astype(np.uint64) + np.uint64(11)), 1
-        while width < CONTEXT and len(grams) > width:
-            grams = grams[:-width] * np.uint64(pow(0x9E3779B97F4A7C15, width, 1 << 64)) + grams[width:]
-            width *= 2
-        found = np.full(len(ends), NONE, dtype=np.uint64)
-        some = ends >= CONTEXT
-        found[some] = common.mix(grams[ends[some] - CONTEXT]) % np.uint64(NONE)
-    return found
 
+def chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row per text and digest of a chunk in it."""
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """A row per chunk: its digest, place and size, and what stands before and after it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            texts = _bytes(batch["text"])
+            parts = []
+            for text, bounds in zip(texts, cuts(texts, min_words), strict=True):
+                starts, ends = _words_at(np.frombuffer(text, dtype=np.uint8))
+                parts.append(np.unique(_chunks(text, bounds, starts, ends, shape(min_words)[2])[1]))
+            row = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]))
+            values = [pa.array(np.concatenate(parts)), batch["doc_id"].take(row), batch["version"].take(row)]
+            yield pa.RecordBatch.from_arrays(values, list(KEY))
+
+    return _texts(docs).mapInArrow(run, _schema(KEY))
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """Texts with the digests that another document holds too."""
+    same = Window.partitionBy("digest")
+    both = rows.withColumn("least", F.min("doc_id").over(same)).withColumn("most", F.max("doc_id").over(same))
+    return both.filter("least < most").groupBy("doc_id", "version").agg(F.collect_list("digest").alias("digests"))
+
+
+def places(docs: DataFrame, known: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The windows of `min_words` words all of whose sure chunks are shared: digest, place and size.
+
+    Sure is a cut that is least in a window of word starts inside; every text that holds the words has that cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach, window, many = shape(min_words)
         for batch in common.slices(batches):
             texts = _bytes(batch["text"])
-            parts: list[list[np.ndarray]] = [[], []]
-            for text, bounds in zip(texts, cuts(texts), strict=True):
-                data = np.frombuffer(text, dtype=np.uint8)
-                around = _around(data, np.append(bounds, np.minimum(bounds + CONTEXT, len(data))))
-                beyond = np.where(bounds + CONTEXT <= len(data), around[len(bounds) :], np.uint64(NONE))
-                digests = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                at = bounds[:-1].astype(np.uint64) << np.uint64(33) | np.minimum(np.diff(bounds), 511).astype(np.uint64) << np.uint64(24)
-                at |= around[: len(bounds) - 1] << np.uint64(12) | beyond[1:]
-                parts[0].append(np.array(digests, dtype=np.uint64).view(np.int64))
-                parts[1].append(at.view(np.int64))
-            counts = np.array([len(x) for x in parts[0]])
-            row = pa.array(np.repeat(np.arange(len(counts)), counts))
-            values = [pa.array(np.concatenate(parts[0])), batch["doc_id"].take(row), batch["version"].take(row), pa.array(np.concatenate(parts[1]))]
-            yield pa.RecordBatch.from_arrays(values, list(CHUNK))
-
-    narrow = _rows(docs).select("doc_id", _version(), "text")
-    return narrow.mapInArrow(run, "digest long, doc_id long, version int, at long")
+            ids, versions = batch["doc_id"].to_pylist(), batch["version"].to_pylist()
+            _, owner, rolled, _ = _rolled(texts, reach)
+            edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+            for i, text in enumerate(texts):
+                starts, ends = _words_at(np.frombuffer(text, dtype=np.uint8))
+                if len(starts) < min_words:
+                    continue
+                order = rolled[edges[i] : edges[i + 1]].astype(np.uint64) << np.uint64(32) | np.arange(len(starts), dtype=np.uint64)
+                cut = (_slide(order, window, np.minimum) & np.uint64(0xFFFFFFFF)).astype(np.int64)[: len(starts) - many + 1]
+                cut = cut[cut + many <= len(starts)]
+                first, inverse = np.unique(cut, return_inverse=True)
+                known = np.isin(_digests(text, starts[first], ends[first + many - 1]), batch["digests"][i].values.to_numpy())
+                alone = np.flatnonzero(~known[inverse])
+                steps = np.zeros(len(starts) + 1, dtype=np.int64)
+                np.add.at(steps, np.maximum(np.maximum(alone + window, cut[alone] + many) - min_words, 0), 1)
+                np.add.at(steps, np.maximum(alone - reach // 2 + 1, 0), -1)
+                at = np.flatnonzero(np.cumsum(steps)[: len(starts) - min_words + 1] == 0)
+                for low in range(0, len(at), 100_000):
+                    begin, end = starts[at[low : low + 100_000]], ends[at[low : low + 100_000] + min_words - 1]
+                    values = (_digests(text, begin, end), np.full(len(begin), ids[i]), np.full(len(begin), versions[i]), begin, end - begin)
+                    yield pa.RecordBatch.from_arrays([pa.array(v).cast(t) for v, t in zip(values, PLACE.values(), strict=True)], list(PLACE))
+
+    met = known.join(_texts(docs), ["doc_id", "version"]).select("doc_id", "version", "digests", "text")
+    return met.mapInArrow(run, _schema(PLACE))
 
 
 def _version():
@@ -138,19 +193,12 @@ def _version():
     return F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int").alias("version")
 
 
-def _unpacked(at: np.ndarray) -> tuple[np.ndarray, ...]:
-    at = at.view(np.uint64)
-    return tuple((at >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64) for shift, bits in ((33, 31), (24, 9), (12, 12), (0, 12)))
-
-
 def found_again(rows: DataFrame) -> DataFrame:
-    """Chunks that a document with a lesser id holds too, with the bytes before or after them, and where.
+    """Windows that a document with a lesser id holds too, and where the least one does: a row per way to lay two texts.
 
-    The rows of a digest lie together, the least document first; they are read in order and not gathered. A stretch of
-    2 * WINDOW + 32 bytes around a chunk of WINDOW reaches CONTEXT bytes beyond it on one side at least.
+    The rows of a digest lie together, the least document first; they are read in order and not gathered.
     """
-    keys = ["digest", "doc_id", "version", "at"]
-    dealt = rows.repartition("digest").sortWithinPartitions(*keys)
+    dealt = rows.repartition("digest").sortWithinPartitions("digest", "doc_id", "version", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head: np.ndarray | None = None  # the first row of the digest that a batch ended in
@@ -161,21 +209,24 @@ def found_again(rows: DataFrame) -> DataFrame:
             first = np.repeat(starts, np.diff(np.append(starts, data.shape[1])))
             head = data[:, first[-1:]]
             other = data[:, first]
-            start, size, before, after = _unpacked(data[3])
-            first_start, _, first_before, first_after = _unpacked(other[3])
-            near = ((before == first_before) & (before != NONE)) | ((after == first_after) & (after != NONE)) | (size >= LONG)
-            again = (data[1] != other[1]) & near
-            found = ((data[1], pa.int64()), (data[2], pa.int32()), (start, pa.int32()), (size, pa.int32()), (other[1], pa.int64()), (other[2], pa.int32()), (first_start, pa.int32()))
-            columns = [pa.array(values[again], kind) for values, kind in found]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in HIT.split(", ")])
+            again = data[1] != other[1]
+            found = (data[1], data[2], data[3], data[4], other[1], other[2], other[3])
+            yield pa.RecordBatch.from_arrays([pa.array(v[again]).cast(t) for v, t in zip(found, HIT.values(), strict=True)], list(HIT))
 
-    return dealt.mapInArrow(run, HIT)
+    hits = dealt.mapInArrow(run, _schema(HIT)).withColumn("shift", F.col("first_start") - F.col("start"))
+    laid = hits.groupBy("doc_id", "version", "first_doc", "first_version", "shift")
+    return laid.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """Both joins ask for these rows by the same keys, so that Spark exchanges the texts once."""
+    return _rows(docs).select("doc_id", _version(), "text")
+
+
 def _words(data: np.ndarray) -> int:
     solid = ~WHITE[data]
     return int(solid[0]) + int((solid[1:] & ~solid[:-1]).sum()) if len(data) else 0
@@ -186,17 +237,19 @@ def _points(data: np.ndarray) -> int:
 
 
 def _stretches(hits: list[dict]) -> Iterator[tuple]:
-    """What to compare: for each run of chunks found again, and each way to lay it on another text, the stretches of both."""
+    """What to compare: for each run of windows found again, and each way to lay it on another text, the stretches of both."""
     hits = sorted(hits, key=lambda h: h["start"])
     run: list[dict] = []
+    end = 0
     for hit in [*hits, None]:
-        if run and (hit is None or hit["start"] > run[-1]["start"] + run[-1]["size"] + MARGIN):
-            low, high = max(0, run[0]["start"] - MARGIN), run[-1]["start"] + run[-1]["size"] + MARGIN
-            for first_doc, first_version, shift in sorted({(h["first_doc"], h["first_version"], h["first_start"] - h["start"]) for h in run}):
+        if run and (hit is None or hit["start"] > end + WINDOW):
+            low, high = max(0, run[0]["start"] - WINDOW), end + WINDOW
+            for first_doc, first_version, shift in sorted({(h["first_doc"], h["first_version"], h["shift"]) for h in run}):
                 yield first_doc, first_version, shift, low, high
-            run = []
+            run, end = [], 0
         if hit is not None:
             run.append(hit)
+            end = max(end, hit["end"])
 
 
 REQUEST = {
@@ -249,16 +302,19 @@ def _equal_stretches(region: np.ndarray, other: np.ndarray, shift: int, ends: tu
 def repeated(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, version, start, end (code points), n_words, first_doc_id, first_start: a row per passage found again."""
     common.prepare(docs.sparkSession)
-    per_text = found_again(chunks(docs)).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "size", "first_doc", "first_version", "first_start")).alias("hits"))
+    known = shared(chunks(docs, min_words))
+    again = found_again(places(docs, known, min_words))
+    per_text = again.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end", "first_doc", "first_version", "shift")).alias("hits"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, version, hits in zip(*(batch[c].to_pylist() for c in ("doc_id", "version", "hits")), strict=True):
                 for first_doc, first_version, shift, low, high in _stretches(hits):
-                    key = xxhash.xxh3_64_intdigest(f"{doc_id} {version} {first_doc} {first_version} {low} {shift}".encode()) - (1 << 63)
+                    key = xxhash.xxh3_64_intdigest(f"{doc_id} {version} {low}".encode()) - (1 << 63)
                     shared = (doc_id, version, first_doc, shift)
-                    rows.append((key, doc_id, version, 0, low, high, *shared))
+                    if not rows or rows[-1][0] != key:  # the own stretch once, then all that it is laid on
+                        rows.append((key, doc_id, version, 0, low, high, *shared))
                     # a sign more on both sides shows whether words are whole
                     rows.append((key, first_doc, first_version, 1, max(0, low + shift - 4), max(0, high + shift + 4), *shared))
             yield _batch(rows, REQUEST)
@@ -285,12 +341,13 @@ def repeated(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
                     own.append(r)
                     continue
                 for o in own if own and own[0]["pair"] == r["pair"] else []:
-                    rows += _passages(o, r, min_words)
+                    if (o["doc_id"], o["version"]) == (r["doc_id"], r["version"]):
+                        rows += _passages(o, r, min_words)
             yield _batch(rows, dict.fromkeys(PASSAGE, pa.int64()))
 
     asked = per_text.mapInArrow(ask, _schema(REQUEST))
-    full = _rows(docs)
-    met = asked.join(full, asked["at_doc"] == full["doc_id"]).select(*(asked[c] for c in REQUEST), "text").filter(F.col("at_version") == _version())
+    full = _texts(docs)
+    met = asked.join(full, (asked["at_doc"] == full["doc_id"]) & (asked["at_version"] == full["version"])).select(*(asked[c] for c in REQUEST), "text")
     pieces = met.mapInArrow(cut_out, _schema(PIECE)).repartition("pair").sortWithinPartitions("pair", "side")
     found = pieces.mapInArrow(lay, ", ".join(f"{c} long" for c in PASSAGE))
     found = found.groupBy("doc_id", "version", "start", "end", "n_words").agg(F.min(F.struct("first_doc_id", "first_start")).alias("first"))
@@ -301,12 +358,12 @@ def repeated(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
 def _passages(own: dict, other: dict, min_words: int) -> Iterator[tuple]:
     """The passages with enough words that two stretches share where a shared chunk lays them on each other."""
     a, b = np.frombuffer(own["piece"], np.uint8), np.frombuffer(other["piece"], np.uint8)
-    shift = own["low"] + own["shift"] - other["low"]
+    shift = own["low"] + other["shift"] - other["low"]
     for begin, end in _equal_stretches(a, b, shift, (own, other), 2 * min_words - 1):
         words = _words(a[begin:end])
         if words >= min_words:
             at, first = own["points"] + _points(a[:begin]), other["points"] + _points(b[: begin + shift])
-            yield own["doc_id"], own["version"], at, at + _points(a[begin:end]), words, own["first_doc"], first
+            yield own["doc_id"], own["version"], at, at + _points(a[begin:end]), words, other["first_doc"], first
 
 
 def without_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:

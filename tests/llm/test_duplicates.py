@@ -111,6 +111,35 @@ def test_passages_equal_brute_force(make):
     assert covered == windows_again(texts, 50)
 
 
+def covered_again(found, texts):
+    out = set()
+    for r in found:
+        text = texts[r["doc_id"]]
+        assert text[r["start"] : r["end"]] == texts[r["first_doc_id"]][r["first_start"] : r["first_start"] + r["end"] - r["start"]]
+        assert len(text[r["start"] : r["end"]].split()) == r["n_words"] >= 50 and r["first_doc_id"] < r["doc_id"]
+        begin = len(text[: r["start"]].split())
+        out |= {(r["doc_id"], j) for j in range(begin, begin + r["n_words"] - 49)}
+    return out
+
+
+def test_passages_whose_parts_lesser_documents_hold(make):
+    shared = prose(60, 60).split()
+    texts = [" ".join([prose(61, 30), *shared[:49], prose(62, 30)]), " ".join([prose(63, 30), *shared[-49:], prose(64, 30)])]
+    texts += [" ".join([prose(65 + i, 40), *shared, prose(68 + i, 40)]) for i in range(2)]
+    # a family of near copies, shuffled boilerplate, a second place in the first document, words of one sign
+    base = prose(70, 600).split()
+    for k in range(6):
+        texts.append(" ".join(f"e{k}x{i}" if i % 38 == 6 * k else w for i, w in enumerate(base)))
+    blocks, draw = [prose(80 + i, 30) for i in range(8)], random.Random(4)
+    texts += [" ".join(draw.sample(blocks, 8)) for _ in range(12)]
+    tail = prose(90, 40)
+    texts += [f"{blocks[0]} {prose(91, 60)} {blocks[0]} {tail}", f"{prose(92, 9)} {blocks[0]} {tail}"]
+    tiny = [draw.choice("abcdefgh") for _ in range(50)]
+    texts += [" ".join([prose(93, 20), *tiny, "zz", prose(94, 20)]), " ".join([prose(95, 20), *tiny, "yy", prose(96, 20)])]
+    texts += [" ".join(["p", "qr", "s"] * 40), "x " + " ".join(["qr", "s", "p"] * 17)]
+    assert covered_again(passages.repeated(make(texts)).collect(), texts) == windows_again(texts, 50)
+
+
 def test_an_insertion_moves_few_cuts():
     text = prose(9, 3000).encode()
     changed = text[:500] + b"inserted " + text[500:]
