@@ -8,8 +8,9 @@ they match, each anchor's occurrences being paired in order of place.
 Comparing a document with the next one needs an order of all rows: ranges of doc_id are cut by approximate
 percentiles, every range also gets the first document of the range after it, and each is read once, in order.
 
-Defined results: a null text is an empty one, without anchors; a text shorter than k has one anchor, the whole text;
-two fingerprints without anchors are alike (1), one with and one without aren't (0). Rows with one doc_id are
+Defined results: a null text is an empty one, without anchors; a text without a closed syncmer (each one
+shorter than k, and some longer ones) has one anchor, the hash of the whole text; so only empty texts have none, which
+are alike (1) among themselves and not (0) with others. Rows with one doc_id are
 ordered by text; null ids come first; the last row's next is the first row. An empty table gives no row, further
 columns are ignored.
 """
@@ -80,7 +81,7 @@ def _anchors(texts: list[str], k: int, s: int) -> list[np.ndarray]:
         values = (common.mix(grams[at]) >> np.uint64(40)).astype(np.uint32) if len(at) else np.empty(0, np.uint32)
     edges = np.searchsorted(at, np.concatenate([[0], ends]))
     found = [values[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    for i in np.flatnonzero((sizes < k) & (sizes > 0)):
+    for i in np.flatnonzero((np.diff(edges) == 0) & (sizes > 0)):
         digest = hashlib.sha256(texts[i].encode("utf-8", "surrogatepass")).digest()
         found[i] = np.array([int.from_bytes(digest[:3], "big")], dtype=np.uint32)
     return found

@@ -182,6 +182,22 @@ def test_fingerprints_follow_their_contract(make, odd, none):
     assert syncmers.compare(make(["alone in the table, this text"])).first()["near_next"] == 1.0
 
 
+def test_short_texts_without_syncmers_have_an_anchor(make):
+    import hashlib
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("abcdefghijklmnop qrstuvwxyz") for _ in range(size)) for size in range(16, 31) for _ in range(20)]
+    found = syncmers.anchors(texts)
+    assert all(len(x) for x in found) and len(syncmers.anchors([""])[0]) == 0
+    assert [x.tolist() for x in found] == [syncmers.anchors([t])[0].tolist() for t in texts]
+    assert all(syncmers.likeness(a, b) == 0.0 for a, b in zip(found, found[1:], strict=False))
+    assert all(syncmers.likeness(x, syncmers.anchors([""])[0]) == 0.0 for x in found)
+    rows = {r["doc_id"]: r for r in syncmers.compare(make(texts)).collect()}
+    assert all(r["near_next"] == 0.0 and r["fingerprint"] for r in rows.values())
+    whole = [i for i, t in enumerate(texts) if found[i].tolist() == [int.from_bytes(hashlib.sha256(t.encode()).digest()[:3], "big")]]
+    assert len(whole) > 30 and all(rows[i]["near_edited"] == 0.0 for i in [*whole, *range(20)])
+
+
 def test_syncmers_are_free_of_context():
     text = prose(4, 400)
     whole = set(syncmers.anchors([text])[0].tolist())
