@@ -3,7 +3,9 @@
 A closed syncmer is a k-mer of code points whose least s-mer lies at its start or its end. Whether a k-mer is one
 depends on the k-mer alone, so equal passages give equal anchors wherever they stand. A fingerprint lists the
 anchors of the whole text in order, three bytes each, in base 64; the likeness of two is the share of anchors that
-they match, each anchor's occurrences being paired in order of place.
+they match: each anchor's occurrences are paired in order of place, and of the pairs the longest chain counts that
+stands in one order in both. So moved passages aren't matched, nor is what hashes of 24 bits share by chance: of m
+chance pairs about 2 * sqrt(m) stand in one order.
 
 Comparing a document with the next one needs an order of all rows: ranges of doc_id are cut by approximate
 percentiles, every range also gets the first document of the range after it, and each is read once, in order.
@@ -18,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -100,16 +103,35 @@ def read_fingerprint(text: str) -> np.ndarray:
     return raw[:, 0] << 16 | raw[:, 1] << 8 | raw[:, 2]
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each anchor with the number of its occurrence, sorted, and the places."""
+    order = np.argsort(values, kind="stable")
+    value = values[order].astype(np.int64)
+    fresh = np.concatenate([[True], value[1:] != value[:-1]])
+    starts = np.flatnonzero(fresh)
+    return value << 32 | np.arange(len(value)) - starts[np.cumsum(fresh) - 1], order
+
+
+def _rising(places: np.ndarray) -> int:
+    """Length of the longest rising chain."""
+    if (places[1:] > places[:-1]).all():
+        return len(places)
+    ends: list[int] = []
+    for place in places.tolist():
+        if not ends or place > ends[-1]:
+            ends.append(place)
+        else:
+            ends[bisect.bisect_left(ends, place)] = place
+    return len(ends)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Twice the matched anchors over all anchors of both."""
+    """Twice the anchors matched in one order in both over all anchors of both."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.sort(np.concatenate([a.astype(np.uint64) << np.uint64(1), (b.astype(np.uint64) << np.uint64(1)) | np.uint64(1)]))
-    value, from_b = both >> np.uint64(1), (both & np.uint64(1)).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-    many = np.diff(np.append(starts, len(value)))
-    of_b = np.add.reduceat(from_b, starts)
-    return float(2 * np.minimum(of_b, many - of_b).sum() / len(value))
+    (own, at), (other, there) = _numbered(a), _numbered(b)
+    _, i, j = np.intersect1d(own, other, assume_unique=True, return_indices=True)
+    return 2 * _rising(there[j][np.argsort(at[i])]) / (len(a) + len(b))
 
 
 def with_next(docs: DataFrame) -> DataFrame:

@@ -198,6 +198,16 @@ def test_short_texts_without_syncmers_have_an_anchor(make):
     assert len(whole) > 30 and all(rows[i]["near_edited"] == 0.0 for i in [*whole, *range(20)])
 
 
+def test_anchors_match_in_the_order_of_their_places():
+    parts = [prose(300 + i, 200) for i in range(6)]
+    a, same, turned = syncmers.anchors([" ".join(parts), " ".join(parts), " ".join(parts[3:] + parts[:3])])
+    assert syncmers.likeness(a, same) == 1.0 and 0.45 < syncmers.likeness(a, turned) < 0.55
+    assert syncmers.likeness(np.array([5, 7, 5]), np.array([5, 5, 7])) == 2 / 3
+    draw = np.random.default_rng(2)
+    chance = [draw.integers(0, 2**24, 300_000, dtype=np.uint32) for _ in range(2)]
+    assert syncmers.likeness(*chance) < 0.002
+
+
 def test_syncmers_are_free_of_context():
     text = prose(4, 400)
     whole = set(syncmers.anchors([text])[0].tolist())
