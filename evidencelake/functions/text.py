@@ -70,44 +70,39 @@ def _translate_table(casefold: bool) -> tuple[str, str, dict[str, str]]:
     return "".join(singles_from + deleted), "".join(singles_to), expansions
 
 
-@functools.lru_cache(maxsize=2)
-def _expanding_class(casefold: bool) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _translate_table(casefold)[2]) + "]"
-
-
-def _expanded(text: Column, casefold: bool) -> Column:
-    """Replace every character that stands for several letters.
+def _folded(text: Column, plain: Column, casefold: bool) -> Column:
+    """The fold of a text; ``plain`` is the fold of pure ASCII, found by comparing byte and character counts.
 
-    Rows without such a character are left alone; the others are cut around
-    them, so only those characters are looked up.  What they stand for is final,
-    so this comes after all other replacements.
+    Characters that stand for several letters are looked up only in the rows
+    that hold one.  Those rows are found by deleting such characters, which
+    costs one table look-up a character; a pattern of all of them would cost a
+    thousand times that.  The rows are cut around the characters found.
     """
-    wide = _expanding_class(casefold)
-    table = F.from_json(F.lit(json.dumps(_translate_table(casefold)[2], ensure_ascii=False)), "map<string,string>")
-    parts = F.regexp_extract_all(text, F.lit(f"{wide}|[^{wide[1:]}+"), F.lit(0))
+    source, target, several = _translate_table(casefold)
+    wide = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
+    table = F.from_json(F.lit(json.dumps(several, ensure_ascii=False)), "map<string,string>")
+    single = F.translate(text, source, target)
+    parts = F.regexp_extract_all(single, F.lit(f"{wide}|[^{wide[1:]}+"), F.lit(0))
     written = F.array_join(F.transform(parts, lambda part: F.coalesce(F.try_element_at(table, part), part)), "")
-    return F.when(text.rlike(wide), written).otherwise(text)
+    return (
+        F.when(F.octet_length(text) == F.length(text), plain)
+        .when(F.length(F.translate(text, "".join(several), "")) == F.length(text), single)
+        .otherwise(written)
+    )
 
 
 def fold(text: Column) -> Column:
     """Casefold, decompose and drop combining marks, inside the JVM.
 
-    Pure ASCII rows, found by comparing byte and character counts, only pay for
-    ``lower``.  Ligatures, fractions, squared letters and other characters that
-    stand for several letters are written out.
+    Ligatures, fractions, squared letters and other characters that stand for
+    several letters are written out.
     """
-    source, target, _ = _translate_table(True)
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
-        _expanded(F.translate(text, source, target), True)
-    )
+    return _folded(text, F.lower(text), True)
 
 
 def strip_marks(text: Column) -> Column:
     """Decompose and drop combining marks but keep case (safety patterns)."""
-    source, target, _ = _translate_table(False)
-    return F.when(F.octet_length(text) == F.length(text), text).otherwise(
-        _expanded(F.translate(text, source, target), False)
-    )
+    return _folded(text, text, False)
 
 
 def tokens(text: Column) -> Column:
