@@ -70,6 +70,18 @@ def _translate_table(casefold: bool) -> tuple[str, str, dict[str, str]]:
     return "".join(singles_from + deleted), "".join(singles_to), expansions
 
 
+def _ranges(codes: list[int], gap: int) -> str:
+    """Ranges that hold the codes; codes nearer than ``gap`` share one."""
+    edges = [0, *(i for i in range(1, len(codes)) if codes[i] - codes[i - 1] > gap), len(codes)]
+    return "".join(f"\\x{{{codes[a]:x}}}-\\x{{{codes[b - 1]:x}}}" for a, b in itertools.pairwise(edges))
+
+
+def _class_of(chars: frozenset[str]) -> str:
+    """Inside of a character class; a few wide ranges settle most characters before the exact ones are asked."""
+    codes = sorted(map(ord, chars))
+    return f"{_ranges(codes, 64)}&&[{_ranges(codes, 1)}]"
+
+
 def _folded(text: Column, plain: Column, casefold: bool) -> Column:
     """The fold of a text; ``plain`` is the fold of pure ASCII, found by comparing byte and character counts.
 
@@ -79,10 +91,10 @@ def _folded(text: Column, plain: Column, casefold: bool) -> Column:
     thousand times that.  The rows are cut around the characters found.
     """
     source, target, several = _translate_table(casefold)
-    wide = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
+    wide = _class_of(frozenset(several))
     table = F.from_json(F.lit(json.dumps(several, ensure_ascii=False)), "map<string,string>")
     single = F.translate(text, source, target)
-    parts = F.regexp_extract_all(single, F.lit(f"{wide}|[^{wide[1:]}+"), F.lit(0))
+    parts = F.regexp_extract_all(single, F.lit(f"[{wide}]|[^{wide}]+"), F.lit(0))
     written = F.array_join(F.transform(parts, lambda part: F.coalesce(F.try_element_at(table, part), part)), "")
     return (
         F.when(F.octet_length(text) == F.length(text), plain)
