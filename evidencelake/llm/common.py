@@ -58,6 +58,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(int(low), int(high - low))
 
 
+def utf8_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the texts, one after another, and where each begins and the last one ends; nulls are empty."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    _, places, data = texts.buffers()
+    offsets = np.frombuffer(places, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
+    return held[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ([^\\x20\\x09-\\x0D]+) of each text: offsets per text, code per word, the distinct words."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))

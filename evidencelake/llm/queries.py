@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidencelake.llm import common, divergence, language, mixing, neardup, packing, passages, pii, quality, syncmers, varbyte
+from evidencelake.llm import common, divergence, importance, language, middle, mixing, neardup, packing, passages, pii, quality, syncmers, varbyte
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,11 +53,23 @@ def op10_ngram_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(common.documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digests(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_temperature_mixing, op2_bootstrapped_pii, op3_distribution_divergence, op4_content_defined_chunks, op5_rank_varbyte_files,
         op6_dart_minhash, op7_closed_syncmers, op8_configuration_packing, op9_ngram_quality, op10_ngram_language,
+        op11_importance_resampling, op12_fill_in_middle,
     )
 }
-ORACLES: dict[str, str] = {"op1_temperature_mixing": mixing.ORACLE, "op3_distribution_divergence": divergence.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_temperature_mixing": mixing.ORACLE, "op3_distribution_divergence": divergence.ORACLE,
+    "op11_importance_resampling": importance.oracle(), "op12_fill_in_middle": middle.ORACLE,
+}
