@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidencelake.llm import common, divergence, importance, language, middle, mixing, neardup, packing, passages, pii, quality, syncmers, varbyte
+from evidencelake.llm import common, divergence, importance, language, middle, mixing, mixture, neardup, packing, passages, pii, quality, syncmers, varbyte
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,12 +61,16 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digests(common.documents(spark, sf_dir))
 
 
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.held_out_scores(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_temperature_mixing, op2_bootstrapped_pii, op3_distribution_divergence, op4_content_defined_chunks, op5_rank_varbyte_files,
         op6_dart_minhash, op7_closed_syncmers, op8_configuration_packing, op9_ngram_quality, op10_ngram_language,
-        op11_importance_resampling, op12_fill_in_middle,
+        op11_importance_resampling, op12_fill_in_middle, op13_context_mixing,
     )
 }
 ORACLES: dict[str, str] = {

@@ -7,7 +7,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_queries_are_registered():
     names = contract.queries()
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 13)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(names) and set(queries.ORACLES) <= set(names)
 
 
