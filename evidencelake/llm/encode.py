@@ -1,7 +1,8 @@
 """Token ids of texts by a public tokenizer; a worker encodes each distinct piece of text once.
 
 Texts are cut only where the tokenizer's own pre-tokenizer always cuts, so the ids of the pieces, one after
-another, are the ids of the text. Texts with characters for which that isn't plain are encoded whole.
+another, are the ids of the text. Texts with characters for which that isn't plain, or with one of the tokenizer's
+added tokens, are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from evidencelake.llm.common import CACHE_WORDS
+#: Pieces whose ids a worker keeps before it starts anew.
+CACHE_PIECES = 200_000
 
 WORD_FILE, BYTE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json"
 _LOADED: dict[str, "PieceEncoder"] = {}
@@ -49,7 +51,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.drops_space = self.tokenizer.normalizer is not None
         self.signs = _byte_letters()
@@ -64,7 +66,7 @@ class PieceEncoder:
         return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u2").tobytes()
 
     def _known(self, pieces: list[str]) -> list[bytes]:
-        if len(self.ids) > CACHE_WORDS:
+        if len(self.ids) > CACHE_PIECES:
             self.ids.clear()
         others = []
         for piece in pieces:
@@ -92,6 +94,8 @@ class PieceEncoder:
         odd = pc.match_substring_regex(texts, _ODD)
         if not self.drops_space:
             odd = pc.or_(odd, pc.match_substring_regex(texts, rf"{_SPACES}|^[\t-\r ]|[\t-\r ]$|[\t\x0b-\r]"))
+        for token in self.added:  # the tokenizer looks for these in the whole text, before it cuts anything
+            odd = pc.or_(odd, pc.match_substring(texts, token, ignore_case=True))
         odd = odd.to_numpy(zero_copy_only=False)
         lists = self._pieces(texts.filter(pa.array(~odd)) if odd.any() else texts)
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)

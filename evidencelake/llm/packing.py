@@ -141,28 +141,39 @@ def _fullest(counts: np.ndarray, space: int) -> list[tuple[int, int]]:
     return best
 
 
+#: Room that a configuration of the program may leave; others are solved anew with what is left.
+SPARE = 0
+
+
+def rounded(left: np.ndarray, room: int) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], np.ndarray]:
+    """Configurations of the program, fullest first, in whole numbers as far as there are pieces; what is left over."""
+    left, out = left.copy(), []
+    for lengths, times, amount in sorted(fractional(left, room), key=lambda x: -float((x[0] * x[1]).sum())):
+        whole = int(min(np.floor(amount + 0.5), (left[lengths] // times).min()))
+        if whole > 0 and (lengths * times).sum() >= room - SPARE:
+            left[lengths] -= whole * times
+            out.append((lengths, times, whole))
+    return out, left
+
+
 def plan(counts: np.ndarray, room: int = ROOM) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Configurations (lengths, multiplicities, number of sequences) that hold exactly `counts` pieces of each length.
 
-    The program is rounded down and the rest filled greedily; of the roundings (after each round, or all the way to
-    zero) the one that needs the fewest sequences is taken.
+    The program is solved and rounded, then solved again for what is left; only the rest of the last rounding is
+    filled greedily. Of the roundings (after each round) the one that needs the fewest sequences is taken.
     """
     left = counts.astype(np.int64).copy()
     full = int(left[room])  # a whole sequence each, in any solution
     left[room] = 0
-    sure = [(np.array([room]), np.array([1]), full)] if full else []
-    rounded: list[tuple[np.ndarray, np.ndarray, int]] = []
-    options = [greedy(left, room)]
+    done = [(np.array([room]), np.array([1]), full)] if full else []
+    options = [] if left.any() else [done]
     for _ in range(ROUNDS):
         if not left.any():
             break
-        for lengths, times, amount in sorted(fractional(left, room), key=lambda x: -float((x[0] * x[1]).sum())):
-            whole = int(min(np.floor(amount), (left[lengths] // times).min()))
-            if whole > 0 and (lengths * times).sum() >= room - 1:
-                left[lengths] -= whole * times
-                rounded.append((lengths, times, whole))
-        options.append(rounded + greedy(left, room))
-    return sure + min(options, key=lambda option: sum(repeat for *_, repeat in option))
+        more, left = rounded(left, room)
+        done = done + more
+        options.append(done + greedy(left, room))
+    return min(options, key=lambda option: sum(repeat for *_, repeat in option))
 
 
 class Places:

@@ -2,7 +2,7 @@
 
 Features of a text are the shares of its word 1- and 2-grams and of the 1-, 2- and 3-grams of its words' shapes
 ("THE!!" has the shape "A!"), hashed into a fixed number of buckets. Training reads a bounded sample of the labelled
-rows, dealt into shards that learn by themselves; their weights are averaged (at most BUCKETS numbers). Scoring
+rows, dealt into shards of bounded length that learn by themselves; their weights are averaged (at most BUCKETS numbers). Scoring
 reads every text once, without a shuffle: a sparse dot product per text.
 
 Defined results: a null or empty text has no feature and gets the score of the bias alone; a null doc_id is scored
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ from evidencelake.llm import common
 SHAPE_BUCKETS, BUCKETS = 1 << 16, 1 << 18
 #: At most so many labelled rows are learnt from; those whose hashed ids are smallest.
 TRAIN_ROWS = 16_000
-#: Rows that a shard learns from, about.
-SHARD_ROWS, EPOCHS = 2_000, 5
+#: Bytes of text that a shard learns from, about; bytes whose n-grams are held at once.
+SHARD_BYTES, PORTION_BYTES, EPOCHS = 6_000_000, 500_000, 5
 ALPHA, BETA, L1, L2 = 0.5, 0.05, 0.002, 0.0
 #: Texts up to this score are taken as low quality.
 THRESHOLD = 0.3
@@ -86,22 +87,39 @@ def follow_the_leader(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs
     return w[:BUCKETS], float(w[BUCKETS])
 
 
+def _examples(texts: pa.Array, labels: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Distinct buckets of each text and their values; families are folded one at a time, so few occurrences are held."""
+    keys, values = np.empty(0, np.int64), np.empty(0, np.float32)
+    for row, bucket, share in features(texts):
+        own, at, times = np.unique(row * BUCKETS + bucket, return_index=True, return_counts=True)
+        keys = np.concatenate([keys, own])
+        values = np.concatenate([values, (times * share[at]).astype(np.float32)])
+    keys, inverse = np.unique(keys, return_inverse=True)
+    values = np.bincount(inverse, weights=values)
+    edges = np.searchsorted(keys, np.arange(len(texts) + 1) * BUCKETS)
+    for label, a, b in zip(labels, edges[:-1], edges[1:], strict=True):
+        yield np.append(keys[a:b] % BUCKETS, BUCKETS).astype(np.int32), np.append(values[a:b], 1.0).astype(np.float32), label
+
+
 def _train(table: pa.Table) -> pa.Table:
-    order = np.lexsort((table["doc_id"].to_numpy(), common.mix(table["doc_id"].to_numpy().astype(np.uint64))))
-    table = table.take(pa.array(order))
+    ids = table["doc_id"].to_numpy()
+    order = np.lexsort((ids, common.mix(ids.astype(np.uint64))))
     examples = []
-    for batch in common.slices(iter(table.combine_chunks().to_batches())):
-        row, bucket, share = (np.concatenate(x) for x in zip(*features(batch["text"]), strict=True))
-        keys, inverse = np.unique(row * BUCKETS + bucket, return_inverse=True)
-        values = np.bincount(inverse, weights=share)
-        edges = np.searchsorted(keys, np.arange(batch.num_rows + 1) * BUCKETS)
-        for label, a, b in zip(batch["label"].to_pylist(), edges[:-1], edges[1:], strict=True):
-            examples.append((np.append(keys[a:b] % BUCKETS, BUCKETS), np.append(values[a:b], 1.0), label))
+    for at in _portions(pc.fill_null(pc.binary_length(table["text"]), 0).to_numpy()[order]):
+        part = table.take(pa.array(order[at]))
+        examples += _examples(pa.concat_arrays(part["text"].chunks), part["label"].to_pylist())
     weights, bias = follow_the_leader(examples, EPOCHS)
     used = np.flatnonzero(weights)
     return pa.table({"bucket": np.append(used, BUCKETS).astype(np.int64), "weight": np.append(weights[used], bias)})
 
 
+def _portions(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of rows of about PORTION_BYTES of text."""
+    group = np.cumsum(sizes) // PORTION_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    return (slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", usable: Column | None = None, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights of all buckets and, last, the bias."""
     common.prepare(docs.sparkSession)
@@ -110,8 +128,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", usable: C
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & usable)
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)  # the documented bound of what is learnt from
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    shards = max(1, round(sample.count() / SHARD_ROWS))
-    sharded = chosen.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(shards)))
+    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, round(size / SHARD_BYTES))
+    # the text is part of the key, so rows of one doc_id are spread as well
+    sharded = chosen.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(shards)))
     learnt = sharded.groupBy("shard").applyInArrow(_train, "bucket long, weight double")
     found = learnt.groupBy("bucket").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).collect()
     weights = np.zeros(BUCKETS + 1)

@@ -19,11 +19,19 @@ def test_pieces_give_the_ids_of_whole_texts(name, texts):
     own = encode.encoder(encode.tokenizer_file(name))
     bounds, ids = own.encode(pa.array([*texts, None], pa.string()))
     whole = Tokenizer.from_file(encode.tokenizer_file(name))
-    whole.encode_special_tokens = True
     for i, text in enumerate([*texts, ""]):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", [encode.WORD_FILE, encode.BYTE_FILE])
+def test_added_tokens_in_a_text_are_those_of_the_untouched_tokenizer(name):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|startoftext|> y<|endoftext|>", "<|ENDOFTEXT|> z", "<|endoftext", "plain text", "<|endoftext|> é日"]
+    bounds, ids = encode.encoder(encode.tokenizer_file(name)).encode(pa.array(texts))
+    whole = Tokenizer.from_file(encode.tokenizer_file(name))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(ids[bounds[1] : bounds[2]]) == 1
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=50))
 def test_control_and_data_bytes_round_trip(ranks):
@@ -34,7 +42,6 @@ def test_control_and_data_bytes_round_trip(ranks):
 
 def expected_ids(name, text, end):
     own = Tokenizer.from_file(encode.tokenizer_file(name))
-    own.encode_special_tokens = True
     return np.array(own.encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
 
