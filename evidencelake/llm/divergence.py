@@ -68,9 +68,11 @@ def measures(docs: DataFrame, references: dict[str, list[tuple[str, float]]]) ->
     }
     symbols = size("no_mark") - F.length(F.regexp_replace("no_mark", SYMBOLS, ""))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    # most words are none of the common ones; what is left is short enough to be searched for each
+    every = sorted({w for words in references.values() for w, _ in words})
+    rows = rows.select("*", (F.filter("words", lambda w: w.isin(every)) if every else F.array().cast("array<string>")).alias("frequent"))
     looked_up = of_language({language: [w for w, _ in words] for language, words in references.items()}, "array<string>")
-    once = lambda w: (F.length("spaced") - F.length(F.replace(F.col("spaced"), F.concat(F.lit(" "), w, F.lit(" "))))) / (F.length(w) + 2)
-    occurrences = F.transform(looked_up, lambda w: once(w).cast("long"))
+    occurrences = F.transform(looked_up, lambda w: (F.size("frequent") - F.size(F.array_remove("frequent", w))).cast("long"))
     return rows.select(
         "doc_id", "language", "n_words", in_words.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), *(v.cast("long").alias(k) for k, v in counts.items()),
