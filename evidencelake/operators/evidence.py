@@ -130,3 +130,52 @@ def bundles(statuses: DataFrame, states: DataFrame, evidence: DataFrame) -> Data
         .join(steps, "query_id", "left")
         .join(found, "query_id", "left")
     )
+
+
+def observable(packed: DataFrame) -> DataFrame:
+    """What a golden comparison sees of a bundle: its gate and, in order, steps with the places of their citations."""
+    citations = lambda step: F.transform(
+        F.filter("evidence", lambda e: e["step_id"] == step["step_id"]),
+        lambda e: F.struct(e["chunk_id"].alias("chunk_id"), e["document_id"].alias("document_id"), e["rank"].cast("bigint").alias("rank")),
+    )
+    groups = F.transform(
+        "steps",
+        lambda s: F.struct(
+            s["step_id"].alias("step_id"), s["reference_date"].cast("string").alias("reference_date"), s["scope"].alias("scope"),
+            F.coalesce(citations(s), F.array().cast("array<struct<chunk_id:string,document_id:string,rank:bigint>>")).alias("citations"),
+        ),
+    )
+    nothing = F.array().cast(
+        "array<struct<step_id:string,reference_date:string,scope:string,citations:array<struct<chunk_id:string,document_id:string,rank:bigint>>>>"
+    )
+    return packed.select("query_id", "can_generate", F.coalesce(groups, nothing).alias("groups"))
+
+
+def preservation(expected: DataFrame, actual: DataFrame, by: list[str]) -> DataFrame:
+    """Shares of groups that kept their step and their citations, of bundles that are equal and of gates that agree.
+
+    Groups are compared place by place and citations in their order; a place that only one side has counts as lost.
+    A bundle without an actual one counts with all its groups lost.  ``actual`` holds one row for each of ``by``.
+    """
+    wanted = expected.select("query_id", F.col("can_generate").alias("gate"), F.col("groups").alias("wanted"))
+    joined = actual.join(wanted, "query_id", "right")
+    both = F.arrays_zip(F.col("wanted").alias("w"), F.coalesce("groups", F.slice("wanted", 1, 0)).alias("a"))
+    context = lambda g: F.struct(g["step_id"], g["reference_date"], g["scope"])
+    present = lambda z: z["w"].isNotNull() & z["a"].isNotNull()
+    count = lambda test: F.size(F.filter("both", lambda z: present(z) & test(z)))
+    rows = joined.withColumn("both", both).select(
+        *by,
+        F.size("both").alias("n"),
+        count(lambda z: context(z["w"]).eqNullSafe(context(z["a"]))).alias("contexts"),
+        count(lambda z: z["w"]["citations"].eqNullSafe(z["a"]["citations"])).alias("citations"),
+        F.col("can_generate").eqNullSafe(F.col("gate")).alias("same_gate"),
+    )
+    exact = (F.col("contexts") == F.col("n")) & (F.col("citations") == F.col("n")) & F.col("same_gate")
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).cast("bigint").alias("case_count"),
+        F.sum("n").cast("bigint").alias("group_count"),
+        F.round(F.avg(exact.cast("int")), 6).alias("exact_match"),
+        F.round(F.sum("contexts") / F.sum("n"), 6).alias("context_preservation_accuracy"),
+        F.round(F.sum("citations") / F.sum("n"), 6).alias("citation_preservation_accuracy"),
+        F.round(F.avg(F.col("same_gate").cast("int")), 6).alias("generation_gate_accuracy"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidencelake.functions import hashing
-from evidencelake.operators import ingestion
+from evidencelake.operators import ingestion, vector_cache
 from evidencelake.plans import documents, inputs
 from evidencelake.plans.registry import query
 from evidencelake.session import ensure_checkpoint_dir
@@ -121,3 +121,33 @@ def corpus_snapshots(spark: SparkSession, folder: str) -> DataFrame:
 def ingestion_results(spark: SparkSession, folder: str) -> DataFrame:
     """Digest of the JSON result of every document processed on some date."""
     return ingestion.result_json(corpus_run(spark, folder)).select("document_id", hashing.text_digest(F.col("result")).alias("result_sha256"))
+
+
+@query(
+    "embedding_cache_refresh",
+    """WITH first AS (SELECT d.doc_id, l.quality, v.vec_id IS NOT NULL AS known FROM documents d JOIN labels l USING (doc_id) LEFT JOIN embeddings v ON v.vec_id = d.doc_id),
+    s AS (SELECT d.doc_id, CASE WHEN f.doc_id IS NULL THEN '' WHEN f.known THEN 'added' ELSE 'not_encoded' END AS first_state, f.quality, v.vec_id IS NOT NULL AS known
+      FROM documents d LEFT JOIN first f USING (doc_id) LEFT JOIN embeddings v ON v.vec_id = d.doc_id),
+    t AS (SELECT *, CASE WHEN first_state = 'added' THEN CASE WHEN quality = 1 THEN 'hit' ELSE 'stale' END WHEN known THEN 'added' ELSE 'not_encoded' END AS second_state FROM s)
+    SELECT doc_id AS chunk_id, first_state, second_state, CASE WHEN second_state = 'added' THEN 'hit' ELSE second_state END AS third_state,
+      CASE WHEN first_state = 'added' THEN 1 WHEN second_state = 'added' THEN 2 ELSE 0 END AS version FROM t""",
+)
+def embedding_cache_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """Three refreshes: the labelled documents, all of them after the poor ones changed, all of them once more."""
+    target, settings = scratch(spark, "vector-cache"), {"model": "given", "revision": "1", "strategy": "whole"}
+    held = inputs.table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    encode = lambda missing: missing.join(held, "chunk_id")
+    corpus = inputs.chunks(spark, folder).select("chunk_id", "text")
+    labels = inputs.table(spark, folder, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
+    earlier = F.when(F.col("quality") == 1, F.col("text")).otherwise(F.concat(F.lit("old "), "text"))
+    before = corpus.join(labels, "chunk_id").select("chunk_id", earlier.alias("text"))
+    first = vector_cache.refresh(before, encode, target, **settings)
+    second = vector_cache.refresh(corpus, encode, target, **settings)
+    third = vector_cache.refresh(corpus, encode, target, **settings)
+    stored = vector_cache.read(spark, target, "bigint", **settings)[0].select("chunk_id", "version")
+    named = lambda df, name: df.withColumnRenamed("state", name)
+    joined = named(second, "second_state").join(named(third, "third_state"), "chunk_id").join(named(first, "first_state"), "chunk_id", "left")
+    return joined.join(stored, "chunk_id", "left").select(
+        "chunk_id", F.coalesce("first_state", F.lit("")).alias("first_state"), "second_state", "third_state",
+        F.coalesce("version", F.lit(0)).cast("int").alias("version"),
+    )
