@@ -200,12 +200,12 @@ def stability(attempts: DataFrame, case: str, fingerprint: Column) -> DataFrame:
 def chain_recovery(rows: DataFrame) -> DataFrame:
     """Complete-chain rates of lexical retrieval and of the graph.
 
-    ``rows``: expected_chain, lexical_chunks, graph_chunks (arrays), status,
+    ``rows``: expected_chain, graph_chunks (arrays), lexical_complete, status,
     expected_status.  Lexical retrieval must contain the chain, the graph must
     return it in order; controls expect no chain.
     """
     chained = F.size("expected_chain") > 0
-    lexical = F.size(F.array_except("expected_chain", "lexical_chunks")) == 0
+    lexical = F.col("lexical_complete")
     ordered = F.col("graph_chunks") == F.col("expected_chain")
     same = F.col("status") == F.col("expected_status")
     return rows.agg(

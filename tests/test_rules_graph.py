@@ -114,8 +114,7 @@ def brute_path(edges, start, target, direction, hops=4):
 
 
 @pytest.mark.parametrize("direction", ["forward", "reverse"])
-@pytest.mark.parametrize("explore", ["start", "target"])
-def test_paths_equal_breadth_first_search(spark, direction, explore):
+def test_paths_equal_breadth_first_search(spark, direction):
     rng = random.Random(6)
     nodes = [f"n{i}" for i in range(12)]
     edges = [(*rng.sample(nodes, 2), rng.choice("pq")) for _ in range(26)]
@@ -126,7 +125,7 @@ def test_paths_equal_breadth_first_search(spark, direction, explore):
     )
     frame = spark.createDataFrame(edges, "source_id string, relation string, target_id string, document_id string, chunk_id string")
     got = {r.request_id: [s.chunk_id for s in r.steps]
-           for r in graph.shortest_paths(requests, frame, direction=direction, explore=explore).collect()}
+           for r in graph.shortest_paths(requests, frame, direction=direction).collect()}
     for i, (a, b) in enumerate(pairs):
         assert got.get(i) == (None if a == b else brute_path(edges, a, b, direction)), (a, b)
 
