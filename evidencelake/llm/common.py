@@ -17,7 +17,7 @@ from evidencelake.session import ensure_checkpoint_dir, ship_package
 #: Text handled at once inside a task; longer batches are cut, single texts never.
 SLICE_CHARS = 4_000_000
 #: Entries that a worker's word caches hold before they start anew (a cache, not a limit on words).
-CACHE_WORDS = 100_000
+CACHE_WORDS = 200_000
 
 _HASHES: dict[str, int] = {}
 
