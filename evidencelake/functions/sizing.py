@@ -16,3 +16,22 @@ def fits(df: DataFrame, max_rows: int = DEFAULT_ROWS) -> bool:
 def hint(df: DataFrame, proven: bool) -> DataFrame:
     """Broadcast only what a check has proven small; otherwise leave it to AQE."""
     return F.broadcast(df) if proven else df
+
+
+#: Rows of one key that a task takes; keys with more are dealt to as many parts as they need.
+PART_ROWS = 50_000
+
+
+def deal_hot_keys(asked: DataFrame, offered: DataFrame, keys: list[str], spread: list[str], *, part_rows: int = PART_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Add ``part`` to both sides of a join on ``keys``.
+
+    Keys are counted.  Rows asked under a key of more than ``part_rows`` are dealt to parts by the columns of
+    ``spread``, and what is offered under it is repeated for each part; all other keys stay in part 0, once.  There
+    are at most ``count / part_rows`` hot keys.
+    """
+    hot = asked.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > part_rows)
+    hot = hot.select(*keys, F.ceil(F.col("_n") / part_rows).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = asked.join(hot, keys, "left").withColumn("part", F.pmod(F.xxhash64(*spread), parts).cast("int"))
+    repeated = offered.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("_parts"), repeated.drop("_parts")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,19 +47,26 @@ def safety_summary(rows: DataFrame, found: Column, expected: Column) -> DataFram
     )
 
 
-def scoped_corpus(tokens: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Chunks once for comparisons and once per snapshot they are valid in.
+def scopes(snapshots: DataFrame) -> lexical.Scopes:
+    """All chunks for comparisons, and for each date the chunks valid on it.
 
-    ``tokens``: chunk_id, document_id, terms.  ``snapshots``: reference_date,
-    chunk_id.
+    ``snapshots``: reference_date, chunk_id.
     """
-    dated = tokens.join(
-        snapshots.select("chunk_id", F.col("reference_date").cast("string").alias("corpus")), "chunk_id"
-    )
-    return tokens.withColumn("corpus", F.lit(COMPARISON_SCOPE)).unionByName(dated)
+    rows = snapshots.select("chunk_id", F.col("reference_date").cast("string").alias("scope"))
+    return lexical.Scopes(rows, COMPARISON_SCOPE)
+
+
+#: (chunks, questions, k, scopes) to ranked chunks, as :func:`lexical.search`; questions carry ``corpus``.
+Retriever = Callable[[DataFrame, DataFrame, int, lexical.Scopes], DataFrame]
+
+
+def bm25(chunks: DataFrame, asked: DataFrame, k: int, within: lexical.Scopes) -> DataFrame:
+    return lexical.search(chunks, asked, k=k, scope_col="corpus", scopes=within)
 
 
-def execute(steps: DataFrame, corpus: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+def execute(
+    steps: DataFrame, chunks: DataFrame, snapshots: DataFrame, threshold: float, k: int, *, retriever: Retriever = bm25
+) -> tuple[DataFrame, DataFrame]:
     """Run every planned step in its own corpus.
 
     ``steps``: query_id, step_id, position, query, reference_date.  Returns
@@ -70,7 +79,7 @@ def execute(steps: DataFrame, corpus: DataFrame, threshold: float, k: int) -> tu
         F.col("query").alias("query_text"),
         F.coalesce(F.col("reference_date").cast("string"), F.lit(COMPARISON_SCOPE)).alias("corpus"),
     )
-    ranked = lexical.search(corpus, asked, k=k, scope_col="corpus")
+    ranked = retriever(chunks, asked, k, scopes(snapshots))
     # same partitioning as the ranking itself; both results below share one exchange
     whole_step = Window.partitionBy("query_id")
     accepted = (

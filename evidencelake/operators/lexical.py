@@ -78,13 +78,26 @@ def _scope(scope_col: str | None) -> Column:
     return (F.lit(0) if scope_col is None else F.col(scope_col)).alias("scope")
 
 
-def _chunk_terms(chunks: DataFrame, vocabulary: DataFrame, scope_col: str | None, text_col: str) -> DataFrame:
+@dataclass(frozen=True)
+class Scopes:
+    """Corpora that share chunks: ``rows`` (scope, chunk_id), and a scope that holds every chunk where one is named.
+
+    Terms are counted once a chunk, whatever number of scopes it is in; scopes are attached to the counts.
+    """
+
+    rows: DataFrame
+    everywhere: str | None = None
+
+
+def _chunk_terms(chunks: DataFrame, vocabulary: DataFrame, small: bool, scope_col: str | None, scopes: Scopes | None, text_col: str) -> DataFrame:
     """Counts of vocabulary terms per chunk plus one length row for each chunk.
 
     The length row keeps chunks without any query term in the corpus size and
     in the average length, and lets both be read from the same exchange.
     """
     found = F.col("terms") if "terms" in chunks.columns else text.tokens(F.col(text_col))
+    keys = ["term"] if scopes is not None else ["scope", "term"]
+    wanted = vocabulary.select(*keys).distinct() if scopes is not None else vocabulary
     occurrences = (
         chunks.select(_scope(scope_col), "chunk_id", found.alias("terms"))
         .withColumn("length", F.size("terms"))
@@ -92,10 +105,17 @@ def _chunk_terms(chunks: DataFrame, vocabulary: DataFrame, scope_col: str | None
             "scope", "chunk_id", "length", F.explode(F.array_append("terms", F.lit(_LENGTH_ROW))).alias("term")
         )
         .where(F.col("term").isNotNull() & F.col("scope").isNotNull())
-        .join(vocabulary, ["scope", "term"], "left_semi")
+        .join(sizing.hint(wanted, small), keys, "left_semi")
     )
     # a chunk is one row, so its occurrences are combined before the exchange
-    return occurrences.groupBy("scope", "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = occurrences.groupBy("scope", "chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    if scopes is None:
+        return counts
+    bare = counts.drop("scope")
+    placed = bare.join(scopes.rows.select("scope", "chunk_id"), "chunk_id").select("scope", *bare.columns)
+    if scopes.everywhere is not None:
+        placed = placed.unionByName(bare.withColumn("scope", F.lit(scopes.everywhere)))
+    return placed.join(sizing.hint(vocabulary, small), ["scope", "term"], "left_semi")
 
 
 @dataclass(frozen=True)
@@ -112,6 +132,7 @@ def score(
     *,
     params: Bm25 = Bm25(),
     scope_col: str | None = None,
+    scopes: Scopes | None = None,
     text_col: str = "text",
     max_query_terms: int = sizing.DEFAULT_ROWS,
 ) -> LexicalScores:
@@ -120,7 +141,8 @@ def score(
     ``chunks``: chunk_id and text (or a ready ``terms`` array); ``queries``:
     query_id and query_text.  With ``scope_col`` both carry the corpus they
     belong to, and corpus size, lengths and frequencies are per scope, so many
-    snapshots are searched in one job.
+    snapshots are searched in one job.  Where scopes share chunks, ``scopes``
+    names them and only ``queries`` carry the column.
 
     ``pairs``: query_id, chunk_id, score, matched_terms, matched_rare_terms.
     ``query_facts``: query_id, term_count, rare_term_count.
@@ -130,7 +152,7 @@ def score(
     vocabulary = terms.select("scope", "term").unionByName(
         terms.select("scope", F.lit(_LENGTH_ROW).alias("term"))
     ).distinct()
-    counts = _chunk_terms(chunks, sizing.hint(vocabulary, small), scope_col, text_col)
+    counts = _chunk_terms(chunks, vocabulary, small, None if scopes else scope_col, scopes, text_col)
 
     # The length rows hold the corpus size and average length of their scope: one row
     # per scope, of which the queries name no more than they have terms.
@@ -192,10 +214,11 @@ def search(
     min_score: float = 0.0,
     params: Bm25 = Bm25(),
     scope_col: str | None = None,
+    scopes: Scopes | None = None,
     text_col: str = "text",
 ) -> DataFrame:
     """Ranked chunks per query: query_id, chunk_id, score, rank and match counts."""
     if min_score < 0:
         raise ValueError("min_score is 0 or more")
-    scored = score(chunks, queries, params=params, scope_col=scope_col, text_col=text_col)
+    scored = score(chunks, queries, params=params, scope_col=scope_col, scopes=scopes, text_col=text_col)
     return top_k(scored.pairs, k, min_score=min_score)

@@ -48,9 +48,7 @@ def execution(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     dates = steps.where(F.col("reference_date").isNotNull()).select("reference_date").distinct()
     entries = inputs.catalog(spark, folder).where(F.col("review_status") == "reviewed")
     valid = temporal.snapshots(entries.withColumnRenamed("doc_id", "chunk_id"), dates, id_col="chunk_id")
-    tokens = lexical.tokenize(inputs.chunks(spark, folder)).select("chunk_id", "document_id", "terms")
-    corpus = evidence.scoped_corpus(tokens, valid)
-    found, states = evidence.execute(steps, corpus, STEP_THRESHOLD, STEP_K)
+    found, states = evidence.execute(steps, inputs.chunks(spark, folder), valid, STEP_THRESHOLD, STEP_K)
     return planned, found, states, evidence.execution_status(planned, states)
 
 

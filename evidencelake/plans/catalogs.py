@@ -272,14 +272,13 @@ def dated_questions(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.questions(spark, folder).join(dates, "query_id")
 
 
-def snapshot_chunks(spark: SparkSession, folder: str, dates: DataFrame) -> DataFrame:
-    """Chunks of all snapshots, tokenized once and repeated per valid date."""
+def snapshot_scopes(spark: SparkSession, folder: str, dates: DataFrame) -> lexical.Scopes:
+    """Which chunks each reference date holds."""
     entries = inputs.catalog(spark, folder).where(F.col("review_status") == "reviewed")
     valid = temporal.snapshots(
         entries.withColumnRenamed("doc_id", "chunk_id"), dates, id_col="chunk_id"
     )
-    tokens = lexical.tokenize(inputs.chunks(spark, folder)).select("chunk_id", "document_id", "terms")
-    return tokens.join(valid, "chunk_id")
+    return lexical.Scopes(valid.select(F.col("reference_date").alias("scope"), "chunk_id"))
 
 
 def snapshot_bm25_sql() -> str:
@@ -302,8 +301,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 
 def snapshot_ranking(spark: SparkSession, folder: str) -> DataFrame:
     asked = dated_questions(spark, folder)
-    corpus = snapshot_chunks(spark, folder, asked.select("reference_date"))
-    return lexical.search(corpus, asked, k=retrieval.TOP_K, scope_col="reference_date")
+    within = snapshot_scopes(spark, folder, asked.select("reference_date"))
+    return lexical.search(inputs.chunks(spark, folder), asked, k=retrieval.TOP_K, scope_col="reference_date", scopes=within)
 
 
 @query(

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
-MODULES = ("retrieval", "measurement", "calibration", "catalogs", "governance", "documents", "understanding", "graphs", "answering", "records", "ingestion", "applications")
+MODULES = ("retrieval", "measurement", "calibration", "catalogs", "governance", "documents", "understanding", "graphs", "answering", "records", "ingestion", "applications", "payloads")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
