@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_ROWS = 500_000
+#: Written out as JSON; a broadcast is held in memory by every executor.
+DEFAULT_BYTES = 128 * 1024 * 1024
 
 
-def fits(df: DataFrame, max_rows: int = DEFAULT_ROWS) -> bool:
-    """Prove by counting that ``df`` has at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int = DEFAULT_ROWS, max_bytes: int = DEFAULT_BYTES) -> bool:
+    """Prove that ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes, whatever the width of its rows."""
+    width = F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+    row = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("size")).first()
+    return row.n <= max_rows and row["size"] <= max_bytes
 
 
 def hint(df: DataFrame, proven: bool) -> DataFrame:

@@ -159,7 +159,7 @@ def contains_any(text: Column, signals: tuple[str, ...]) -> Column:
 def byte_tokens(text: Column, bytes_per_token: int = 4) -> Column:
     """Token estimate: bytes rounded up to whole tokens; empty text costs none."""
     if bytes_per_token <= 0:
-        raise ValueError("bytes_per_token must be positive")
+        raise ValueError("a token takes at least one byte")
     size = F.octet_length(text)
     return F.ceil(size / F.lit(bytes_per_token)).cast("bigint")
 

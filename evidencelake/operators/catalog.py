@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -116,29 +117,62 @@ def require_empty(found: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {row.asDict()}")
 
 
-def on_or_before_cycle(links: DataFrame, *, checkpoint_every: int = 4) -> DataFrame:
+def _jump(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ends of runs of documents with one successor each, by doubling the steps taken.
+
+    ``single``: document_id, at (its successor).  Returns (document_id, at) of those that leave the run, ``at`` being
+    the first document without exactly one successor, and the document ids of those that go round for ever.
+    """
+    limit = math.ceil(math.log2(single.count() + 2)) + 1
+    for _ in range(limit):
+        ahead = single.select(F.col("document_id").alias("at"), F.col("at").alias("beyond"))
+        single = single.join(ahead, "at", "left").select(
+            "document_id", F.coalesce("beyond", "at").alias("at"), F.col("beyond").isNotNull().alias("moving")
+        ).checkpoint()
+        if single.where("moving").limit(1).count() == 0:
+            break
+    return single.where("NOT moving").select("document_id", "at"), single.where("moving").select("document_id")
+
+
+def on_or_before_cycle(links: DataFrame) -> DataFrame:
     """Documents from which a supersession cycle can be reached.
 
-    Documents without a remaining successor are peeled off round by round until
-    nothing changes; what stays reaches a cycle.  ``links``: document_id,
-    target.  The lineage is cut by checkpoints in the shared folder.
+    Documents with one successor are jumped over in a logarithmic number of rounds, however long their chain.  What
+    is left are documents with several successors; edges that end nowhere are dropped and the rest is jumped over
+    again.  Once every document left has several successors among them, each of them reaches a cycle.  ``links``:
+    document_id, target.  The lineage is cut by checkpoints in the shared folder.
     """
-    spark = links.sparkSession
-    ensure_checkpoint_dir(spark)
-    remaining = links.select("document_id", "target").distinct().checkpoint()
-    size = remaining.count()
-    step = 0
-    while True:
-        alive = remaining.select(F.col("document_id").alias("target")).distinct()
-        remaining = remaining.join(alive, "target", "left_semi")
-        step += 1
-        if step % checkpoint_every:
-            continue
-        remaining = remaining.select("document_id", "target").checkpoint()
-        after = remaining.count()
-        if after == size:
-            return remaining.select("document_id").distinct()
-        size = after
+    ensure_checkpoint_dir(links.sparkSession)
+    edges = links.select("document_id", "target").distinct().checkpoint()
+    size, passed, found = edges.count(), [], []
+    while size:
+        degree = edges.groupBy("document_id").agg(F.count("*").alias("n"), F.min("target").alias("at"))
+        single = degree.where("n = 1").select("document_id", "at").checkpoint()
+        many = degree.where("n > 1").select("document_id")
+        if single.limit(1).count():
+            ended, turning = _jump(single)
+            passed.append(ended)
+            found.append(turning)
+        else:
+            ended, turning = single, single.select("document_id")
+        # a document that leads into a circle of single successors stands for it as its own successor
+        led = turning.select(F.col("document_id").alias("target"), F.lit(True).alias("turns"))
+        ends = ended.select(F.col("document_id").alias("target"), F.col("at").alias("end"))
+        moved = edges.join(many, "document_id", "left_semi").join(ends, "target", "left").join(led, "target", "left")
+        goal = F.when(F.col("turns"), F.col("document_id")).otherwise(F.coalesce("end", "target"))
+        moved = moved.select("document_id", goal.alias("target")).distinct()
+        edges = moved.join(many.select(F.col("document_id").alias("target")), "target", "left_semi").select("document_id", "target").checkpoint()
+        before, size = size, edges.count()
+        if size == before:
+            found.append(edges.select("document_id"))
+            break
+    if not found:
+        return edges.select("document_id")
+    alive = reduce(DataFrame.unionByName, found).distinct()
+    for ended in reversed(passed):
+        reached = ended.join(alive.select(F.col("document_id").alias("at")), "at", "left_semi").select("document_id")
+        alive = alive.unionByName(reached).distinct()
+    return alive
 
 
 def grouped_copies(inventory: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidencelake.functions import hashing
+from evidencelake.functions import arrays, hashing
 
 _EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 ELEMENT = (
@@ -54,20 +54,21 @@ def plain_text_elements(document_id: Column, text: Column) -> Column:
         )
     )
     kept = F.filter(blocks, lambda b: b["text"] != "")
-    marked = F.transform(kept, _marked)
-    start = F.struct(
-        F.lit(None).cast("string").alias("section"),
-        F.array().cast("array<struct<kind:string,text:string,page:int,section:string>>").alias("items"),
-    )
 
-    def carry(state: Column, block: Column) -> Column:
-        section = F.when(block["opens"], block["text"]).otherwise(state["section"])
-        element = F.struct(
-            block["kind"].alias("kind"), block["text"].alias("text"), block["page"].alias("page"), section.alias("section")
+    def with_sections(marked: Column) -> Column:
+        """Blocks from one that opens a section up to the next are one run; no block is appended to a growing array."""
+        opening = F.filter(F.transform(marked, lambda b, i: F.when(b["opens"], i)), lambda i: i.isNotNull())
+        before = F.when(F.coalesce(F.get(opening, 0), F.lit(-1)) == 0, F.slice(opening, 1, 0)).otherwise(F.array(F.lit(0)))
+        run = lambda r: F.transform(
+            r,
+            lambda b: F.struct(
+                b["kind"].alias("kind"), b["text"].alias("text"), b["page"].alias("page"),
+                F.when(F.get(r, 0)["opens"], F.get(r, 0)["text"]).alias("section"),
+            ),
         )
-        return F.struct(section.alias("section"), F.array_append(state["items"], element).alias("items"))
+        return F.flatten(F.transform(arrays.cut_at(marked, F.concat(before, opening)), run))
 
-    placed = F.aggregate(marked, start, carry, lambda state: state["items"])
+    placed = arrays.once(F.transform(kept, _marked), with_sections)
     return F.transform(
         placed,
         lambda e, i: F.struct(

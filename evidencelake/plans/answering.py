@@ -337,59 +337,6 @@ def citation_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return answers.citation_metrics(rows.select(cited.alias("cited"), F.array("e1", "e2").alias("relevant")))
 
 
-@query(
-    "synthesis_state_machine",
-    f"""WITH {RESPONSE_SQL}, flags AS (SELECT k, {PROBLEM_SQL} AS problem, k % 13 <> 0 AS enabled, k % 7 <> 0 AS prepared, k % 17 = 0 AS failed,
-      CASE WHEN k % 3 = 0 THEN 'reject' WHEN k % 5 = 0 THEN 'review' ELSE 'release' END AS decision FROM responses)
-    SELECT k, CASE WHEN NOT enabled THEN 'disabled' WHEN NOT prepared THEN 'blocked' WHEN failed THEN 'failed' WHEN problem <> '' THEN 'rejected' WHEN decision = 'reject' THEN 'rejected'
-      WHEN decision = 'review' THEN 'held' ELSE 'validated' END AS synthesis_status,
-      CASE WHEN NOT enabled THEN 'synthesis_disabled' WHEN NOT prepared THEN 'request_not_prepared' WHEN failed THEN 'client_failed' WHEN problem <> '' THEN 'response_rejected'
-      WHEN decision = 'reject' THEN 'verification_claim_support_failed' WHEN decision = 'review' THEN 'verification_untrusted_content' ELSE '' END AS synthesis_failure FROM flags""",
-)
-def synthesis_state_machine(spark: SparkSession, folder: str) -> DataFrame:
-    return synthesis_rows(spark, folder).select(
-        "k", "synthesis_status", F.coalesce("synthesis_failure", F.lit("")).alias("synthesis_failure")
-    )
-
-
-def synthesis_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Simulated synthesis of every response with mixed switches."""
-    k = F.col("k")
-    rows = responses(spark, folder).withColumn("answer", answers.parse(F.col("response")))
-    rows = rows.withColumn(
-        "problem", answers.decomposed_problem(F.col("answer"), F.col("groups"), F.lit(True))
-    ).withColumn("decision", F.when(k % 3 == 0, "reject").when(k % 5 == 0, "review").otherwise("release"))
-    return answers.synthesis(
-        rows,
-        enabled=k % 13 != 0,
-        prepared=k % 7 != 0,
-        client_failed=k % 17 == 0,
-        problem=F.col("problem"),
-        decision=F.col("decision"),
-        code=F.when(F.col("decision") == "reject", "claim_support_failed").otherwise("untrusted_content"),
-    )
-
-
-@query(
-    "application_safety_rollup",
-    f"""WITH {RESPONSE_SQL}, flags AS (SELECT k, {PROBLEM_SQL} AS problem, k % 13 <> 0 AS enabled, k % 7 <> 0 AS prepared, k % 17 = 0 AS failed,
-      CASE WHEN k % 3 = 0 THEN 'reject' WHEN k % 5 = 0 THEN 'review' ELSE 'release' END AS decision FROM responses),
-    o AS (SELECT k % 11 AS variant, prepared, enabled AND prepared AS called, enabled AND prepared AND NOT failed AND problem = '' AND decision = 'release' AS released FROM flags)
-    SELECT variant, count(*) AS attempt_count, count(*) FILTER (prepared) AS prepared_count, count(*) FILTER (called) AS invoked_count, count(*) FILTER (released) AS validated_count,
-      round(avg((NOT called OR prepared)::INT), 6) AS invocation_safety, 1.0::DOUBLE AS release_safety FROM o GROUP BY variant""",
-)
-def application_safety_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.col("k")
-    rows = synthesis_rows(spark, folder).select(
-        (k % 11).alias("variant"),
-        F.when(k % 7 != 0, "prepared").otherwise("blocked").alias("request_status"),
-        ((k % 13 != 0) & (k % 7 != 0)).alias("client_called"),
-        "synthesis_status",
-        (F.col("synthesis_status") == "validated").alias("answer_present"),
-    )
-    return answers.application_summary(rows, ["variant"])
-
-
 # --- verifiers and grading ---
 
 SENTENCES_SQL = """facts AS (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'O prazo é de ' || o_orderkey % 40 || ' dias e o código AB-' || o_orderkey || ' é permitido' WHEN 1 THEN 'Espere três horas; px' || o_orderkey || ' não autoriza'

@@ -208,28 +208,3 @@ def ocr_fallback_merge(spark: SparkSession, folder: str) -> DataFrame:
         "element_id",
         "text",
     )
-
-
-@query(
-    "corpus_profile_status",
-    r"""WITH p AS (SELECT CASE WHEN page_id % 3 = 0 THEN '.pdf' WHEN page_id % 3 = 1 THEN '.xls' ELSE '.xlsx' END AS suffix,
-      len(regexp_extract_all(html, '<h1')) AS elements, len(regexp_extract_all(html, '<li')) AS pages, contains(url, '?') AS used_ocr,
-      CASE WHEN contains(url, '#') THEN 'error' END AS failed FROM pages)
-    SELECT suffix, CASE WHEN failed IS NOT NULL THEN failed WHEN elements > 0 AND used_ocr THEN 'ocr_extracted' WHEN elements > 0 THEN 'extracted'
-      WHEN suffix = '.pdf' AND pages > 0 THEN 'needs_ocr' WHEN suffix = '.pdf' THEN 'empty_document' ELSE 'empty' END AS status, count(*) AS files
-    FROM p GROUP BY ALL""",
-)
-def corpus_profile_status(spark: SparkSession, folder: str) -> DataFrame:
-    """Web pages in the place of files: headings are elements, list items pages."""
-    number = F.col("page_id") % 3
-    rows = inputs.table(spark, folder, "pages").select(
-        F.when(number == 0, ".pdf").when(number == 1, ".xls").otherwise(".xlsx").alias("suffix"),
-        F.regexp_count("html", F.lit("<h1")).alias("elements"),
-        F.regexp_count("html", F.lit("<li")).alias("page_count"),
-        F.contains(F.col("url"), F.lit("?")).alias("used_ocr"),
-        F.when(F.contains(F.col("url"), F.lit("#")), "error").alias("failed"),
-    )
-    status = profiles.extraction_status(
-        F.col("suffix"), F.col("elements"), F.col("page_count"), F.col("used_ocr"), F.col("failed")
-    )
-    return rows.groupBy("suffix", status.alias("status")).agg(F.count(F.lit(1)).cast("bigint").alias("files"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidencelake.functions import hashing
-from evidencelake.operators import ingestion, vector_cache
+from evidencelake.operators import ingestion, profiles, vector_cache
 from evidencelake.plans import documents, inputs
 from evidencelake.plans.registry import query
 from evidencelake.session import ensure_checkpoint_dir
@@ -151,3 +151,22 @@ def embedding_cache_refresh(spark: SparkSession, folder: str) -> DataFrame:
         "chunk_id", F.coalesce("first_state", F.lit("")).alias("first_state"), "second_state", "third_state",
         F.coalesce("version", F.lit(0)).cast("int").alias("version"),
     )
+
+
+@query(
+    "corpus_profile",
+    f"""WITH RECURSIVE {inputs.CATALOG_SQL.strip()}, {documents.ELEMENTS_SQL.strip()}, n AS (SELECT doc_id, count(*) AS n FROM els GROUP BY 1)
+    SELECT '.txt' AS suffix, CASE WHEN coalesce(n, 0) > 0 THEN 'extracted' ELSE 'empty' END AS status, count(*) AS files, coalesce(sum(n), 0)::BIGINT AS elements FROM rendered LEFT JOIN n USING (doc_id) WHERE doc_id % 19 <> 0 GROUP BY ALL
+    UNION ALL SELECT '.html', 'error', count(*), 0 FROM pages""",
+)
+def corpus_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """What parsing every file of the corpus folder gives, without a catalog."""
+    suffix = lambda name: F.lower(F.regexp_extract(name, r"(\.[^./]+)$", 1))
+    kind = F.when(suffix("relative_path") == ".txt", "text/plain").otherwise("text/html")
+    sources = files(spark, folder).select(F.col("relative_path").alias("document_id"), kind.alias("media_type"), "content", F.lit(None).cast("string").alias("reason"))
+    found = ingestion.parsed(sources).select(
+        suffix("document_id").alias("suffix"), F.coalesce(F.size("elements"), F.lit(0)).alias("n"), F.when(F.col("reason").isNotNull(), "error").alias("failed"),
+        F.size(F.array_distinct(F.transform("elements", lambda e: e["page"]))).alias("pages"),
+    )
+    status = profiles.extraction_status(F.col("suffix"), F.col("n"), F.col("pages"), F.lit(False), F.col("failed"))
+    return found.groupBy("suffix", status.alias("status")).agg(F.count("*").cast("bigint").alias("files"), F.sum("n").cast("bigint").alias("elements"))

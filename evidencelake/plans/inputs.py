@@ -11,21 +11,31 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions import hashing, sizing
 
+#: Characters that stand for several letters, as far as the inputs hold them, with what they stand for.
+SEVERAL = {"ﬁ": "fi", "ﬀ": "ff", "½": "1⁄2", "™": "TM", "㎏": "kg"}
 FOLD_SQL = "strip_accents(replace(lower({0}), 'ß', 'ss'))"
-TOKENS_SQL = "regexp_extract_all(strip_accents(replace(lower({0}), 'ß', 'ss')), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
+for _sign, _letters in SEVERAL.items():
+    FOLD_SQL = f"replace({FOLD_SQL}, '{_sign}', '{_letters}')"
+TOKENS_SQL = f"regexp_extract_all({FOLD_SQL}, '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
 
+#: What is written in the place of parts of the documents, so that ligatures, fractions and signs occur.
+_WIDE = {"fi": "ﬁ", "ff": "ﬀ", " de ": " ½ ", "and": "an™d", " la ": " 5㎏ "}
+WIDE_SQL = "text"
+for _part, _sign in _WIDE.items():
+    WIDE_SQL = f"replace({WIDE_SQL}, '{_part}', '{_sign}')"
+WIDE_SQL = f"wide AS (SELECT doc_id, {WIDE_SQL} AS text FROM documents)"
 
-#: Session setting: deal the rows of text tables to all cores after reading. For tables of one row group, which no
-#: scan can split; off unless set, and never chosen by size.
-SPREAD = "spark.evidencelake.spreadTexts"
-_TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "orders": ["o_orderkey"]}
+
+def wide_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with characters in them that stand for several letters."""
+    written = F.col("text")
+    for part, sign in _WIDE.items():
+        written = F.replace(written, F.lit(part), F.lit(sign))
+    return table(spark, folder, "documents").select("doc_id", written.alias("text"))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    if name in _TEXT_KEYS and spark.conf.get(SPREAD, "false") == "true":
-        return rows.repartition(spark.sparkContext.defaultParallelism, *_TEXT_KEYS[name])
-    return rows
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:

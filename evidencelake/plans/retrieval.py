@@ -16,11 +16,11 @@ THRESHOLD = 12.0
 
 @query(
     "tokenize_terms",
-    f"""SELECT doc_id, len(t) AS token_count, len(list_distinct(t)) AS distinct_tokens, array_to_string(t, ' ') AS tokens
-        FROM (SELECT doc_id, {inputs.TOKENS_SQL.format('text')} AS t FROM documents)""",
+    f"""WITH {inputs.WIDE_SQL} SELECT doc_id, len(t) AS token_count, len(list_distinct(t)) AS distinct_tokens, array_to_string(t, ' ') AS tokens
+        FROM (SELECT doc_id, {inputs.TOKENS_SQL.format('text')} AS t FROM wide)""",
 )
 def tokenize_terms(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical.tokenize(inputs.table(spark, folder, "documents")).select(
+    return lexical.tokenize(inputs.wide_documents(spark, folder)).select(
         "doc_id",
         F.size("terms").cast("bigint").alias("token_count"),
         F.size(F.array_distinct("terms")).cast("bigint").alias("distinct_tokens"),
@@ -118,13 +118,13 @@ def gated_retrieval(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "label_text_key",
-    f"""SELECT label, count(*) AS documents FROM (
-      SELECT trim(regexp_replace({inputs.FOLD_SQL.format('text')}, '[^a-z0-9]+', ' ', 'g')) AS label FROM documents)
+    f"""WITH {inputs.WIDE_SQL} SELECT label, count(*) AS documents FROM (
+      SELECT trim(regexp_replace({inputs.FOLD_SQL.format('text')}, '[^a-z0-9]+', ' ', 'g')) AS label FROM wide)
       GROUP BY label""",
 )
 def label_text_key(spark: SparkSession, folder: str) -> DataFrame:
     """Documents per normalized label text (near copies share a label)."""
-    documents = inputs.table(spark, folder, "documents")
+    documents = inputs.wide_documents(spark, folder)
     return documents.groupBy(text.label_text(F.col("text")).alias("label")).agg(
         F.count(F.lit(1)).cast("bigint").alias("documents")
     )

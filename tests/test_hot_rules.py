@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.functions import sizing
-from evidencelake.operators import rules
+from evidencelake.operators import catalog, rules
 
 FIELDS = "rule_id string, version int, subject string, action string, decision string, priority int, conditions map<string,string>, effective_from date, effective_until date"
 
@@ -77,3 +77,35 @@ def test_only_hot_keys_are_dealt(spark):
     assert {(r.k, r.part) for r in right.collect()} == {("cold", 0), ("unasked", 0), *(("hot", p) for p in range(5))}
     assert left.count() == 100 and {r.part for r in left.where("k = 'hot'").collect()} == set(range(5))
     assert left.join(right, ["k", "part"]).count() == 100
+
+
+def brute_cycles(links):
+    alive = {a for a, _ in links}
+    while True:
+        kept = {a for a, b in links if a in alive and b in alive}
+        if kept == alive:
+            return alive
+        alive = kept
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cycles_equal_peeling(spark, seed):
+    draw = random.Random(seed)
+    links = {(f"d{draw.randrange(40)}", f"d{draw.randrange(40)}") for _ in range([10, 25, 35, 45, 60, 90][seed])}
+    links |= {(f"c{i}", f"c{i + 1}") for i in range(30)} | {("c30", "d1")} | ({("x", "x")} if seed % 2 else set())
+    frame = spark.createDataFrame(sorted(links), "document_id string, target string")
+    got = [r.document_id for r in catalog.on_or_before_cycle(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_cycles(links)
+
+
+def test_a_chain_of_a_hundred_thousand_takes_few_rounds(spark):
+    chain = spark.range(100_000).select(F.col("id").cast("string").alias("document_id"), (F.col("id") + 1).cast("string").alias("target"))
+    turned = chain.unionByName(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("c", "5")], "document_id string, target string"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    assert {r.document_id for r in catalog.on_or_before_cycle(turned).collect()} == {"a", "b", "c"}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before)
+    assert jobs < 300  # a round a link would be a hundred thousand
+
+
+def test_no_links_at_all(spark):
+    assert catalog.on_or_before_cycle(spark.createDataFrame([], "document_id string, target string")).collect() == []
