@@ -3,6 +3,10 @@
 The stages reject low quality, keep one document of each near-duplicate class, redact personal data, mix the sources
 and pack the token pieces. All but the last return the columns of documents. Sources are mixed without losing a
 document: the largest source is used once, the rarest at most mixing.REPETITION times.
+
+Defined results: an empty table gives no row at any stage; null texts are empty ones, which the classifier judges by
+its bias and of which near-dedup keeps one; null ids and repeated rows pass like any other; further columns are kept up
+to the last stage, whatever their names.
 """
 
 from __future__ import annotations
