@@ -1,13 +1,15 @@
 """Personal data: fixed patterns, and identifiers that bootstrapped contexts reveal.
 
-Matches of the fixed patterns are seeds. The words around a seed are lexical patterns, and every identifier-like
-token (six signs or more, one of them a digit) that stands in such a pattern is an instance. Spark scores the graph
-of patterns and instances in turn: a pattern's confidence is the share of its occurrences that are of trusted
-instances, an instance's that of its patterns together. Patterns that enough different seeds support and that stay
-above the threshold reveal the other instances in them; those get spans of the kind `context`.
+Matches of the fixed patterns are seeds, and so are long hexadecimal keys, which no fixed pattern of the result
+covers. The words around a seed are lexical patterns, and every identifier-like token (six signs or more, one of them
+a digit) that stands in such a pattern is an instance. Spark scores the graph of patterns and instances in turn: a
+pattern's confidence is the share of its occurrences that are of trusted instances, an instance's trust that of its
+patterns together; a pattern counts once enough different trusted instances stand in it, whether they were seeds or
+were revealed by other patterns. What is trusted stays so, and rounds go on until nothing is added. Confident
+patterns reveal the trusted instances in them; those get spans of the kind `context`.
 
 Defined results: a null text is an empty one without spans; equal rows give equal rows; a null doc_id is kept; an
-empty table gives no row; further columns are ignored (by `redact` kept).
+empty table gives no row; repeated rows count as often as they occur; further columns are ignored (by `redact` kept).
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EDGES = "\"'`.,;:!?()[]{}<>"
-#: Rounds of scoring, different seeds that a pattern needs, confidence that pattern and instance need.
-ROUNDS, SUPPORT, CONFIDENT = 3, 3, 0.6
+#: Hexadecimal keys that seed contexts; they are reported only where their context is trusted.
+KEY = re.compile(r"(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,64}\Z")
+#: Different trusted instances that a pattern needs, confidence that pattern and instance need.
+SUPPORT, CONFIDENT = 3, 0.6
 CONTEXT = "context"
 
 
@@ -104,6 +108,7 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     words = [None if seed else text[a:b] for a, b, seed in items]
     out = []
     for i, (a, b, seed) in enumerate(items):
+        known = seed
         if not seed:
             token = words[i]
             if len(token) < 6 or not any("0" <= c <= "9" for c in token):
@@ -113,14 +118,15 @@ def mentions(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
                 continue
             a += token.index(inner)
             b = a + len(inner)
+            known = KEY.match(inner) is not None
         near = ["<" if i < n else ("@" if words[i - n] is None else _word(words[i - n])) for n in (2, 1)]
         after = ">" if i + 1 == len(items) else ("@" if words[i + 1] is None else _word(words[i + 1]))
         patterns = [_digest("\t".join(("before", *near))), _digest("\t".join(("around", near[1], after)))]
-        out.append({"start": a, "end": b, "seed": seed, "instance": _digest(text[a:b]), "patterns": patterns})
+        out.append({"start": a, "end": b, "seed": known, "base": seed, "instance": _digest(text[a:b]), "patterns": patterns})
     return out
 
 
-MENTION = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
+MENTION = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("base", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
 
 
 def _key() -> tuple:
@@ -147,50 +153,57 @@ def scan(docs: DataFrame) -> DataFrame:
                 ["doc_id", "version", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "mentions"],
             )
 
-    mention = "array<struct<start: int, end: int, seed: boolean, instance: bigint, patterns: array<bigint>>>"
+    mention = "array<struct<start: int, end: int, seed: boolean, base: boolean, instance: bigint, patterns: array<bigint>>>"
     schema = f"doc_id long, version binary, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, mentions {mention}"
     doc, version, text = _key()
     return docs.select(doc.alias("doc_id"), version.alias("version"), text.alias("text")).mapInArrow(run, schema)
 
 
-def score(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def score(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Patterns (pattern) and instances (instance) worth trusting, from edges (pattern, instance, seed, n)."""
-    seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("trust"))
-    patterns = None
-    for number in range(rounds):
-        known = edges.join(seeds, "instance")
+    trusted = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("trust"))
+    before = -1
+    while True:
+        known = edges.join(trusted, "instance")
+        sure = F.col("trust") >= CONFIDENT
         patterns = known.groupBy("pattern").agg(
-            (F.sum(F.col("trust") * F.col("n")) / (F.sum("n") + 1)).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("support")
+            (F.sum(F.col("trust") * F.col("n")) / (F.sum("n") + 1)).alias("confidence"), F.sum(sure.cast("int")).alias("support")
         )
-        patterns = common.store(patterns.filter(F.col("support") >= SUPPORT), f"patterns-{number}")
+        patterns = common.store(patterns.filter(F.col("support") >= SUPPORT), "patterns")
         reach = edges.join(patterns, "pattern").groupBy("instance").agg(
-            F.max(F.col("seed").cast("double")).alias("seed"), (1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("trust")
+            (1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))).alias("reached")
         )
-        seeds = common.store(reach.select("instance", F.greatest("seed", "trust").alias("trust")), f"instances-{number}")
-    confident = patterns.filter(F.col("confidence") >= CONFIDENT).select("pattern")
-    return confident, seeds.filter(F.col("trust") >= CONFIDENT).select("instance")
+        # trust never falls, so rounds end when no instance has become sure
+        grown = trusted.join(reach, "instance", "left").select("instance", F.greatest("trust", F.when(F.col("reached") >= CONFIDENT, F.col("reached"))).alias("trust"))
+        trusted = common.store(grown, "instances")
+        now = trusted.filter(sure).count()
+        if now == before:
+            return patterns.filter(F.col("confidence") >= CONFIDENT).select("pattern"), trusted.filter(sure).select("instance")
+        before = now
 
 
 def context_spans(scanned: DataFrame) -> DataFrame:
     """doc_id, version and the spans (start, end) that confident patterns reveal."""
     each = scanned.select("doc_id", "version", F.explode("mentions").alias("m"))
-    paths = each.select("doc_id", "version", "m.start", "m.end", "m.seed", "m.instance", F.explode("m.patterns").alias("pattern"))
+    paths = each.select("doc_id", "version", "m.start", "m.end", "m.seed", "m.base", "m.instance", F.explode("m.patterns").alias("pattern"))
     edges = paths.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     patterns, instances = score(common.store(edges, "edges"))
-    new = paths.filter(~F.col("seed")).join(patterns, "pattern").join(instances, "instance")
+    new = paths.filter(~F.col("base")).join(patterns, "pattern").join(instances, "instance")
     spans = new.select("doc_id", "version", "start", "end").distinct()
     return spans.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("revealed"))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts, base_sha256, spans and n_context of every row."""
+    """doc_id, counts, base_sha256, spans, n_context and n_spans (all kinds) of every row."""
     common.prepare(docs.sparkSession)
     scanned = common.store(scan(docs), "scanned")
     revealed = context_spans(scanned).select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), "revealed")
     rows = scanned.drop("mentions").join(revealed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("version") == F.col("_v")), "left")
     named = F.transform("revealed", lambda s: F.concat_ws(":", F.lit(CONTEXT), s["start"].cast("string"), s["end"].cast("string")))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(named, ","))
-    return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), F.coalesce(F.size("revealed"), F.lit(0)).cast("long").alias("n_context"))
+    n_context = F.coalesce(F.size("revealed"), F.lit(0)).cast("long")
+    n_spans = n_context + sum((F.col(f"n_{k}") for k in KINDS), F.lit(0))
+    return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", spans.alias("spans"), n_context.alias("n_context"), n_spans.cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

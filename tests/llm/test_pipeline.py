@@ -30,3 +30,18 @@ def test_stages_pass_documents_on(spark, tmp_path):
     assert all("@mail" not in r["text"] for r in redacted)
     deduplicated = [r["text"] for r in spark.read.parquet(f"{tmp_path}/1").collect()]
     assert len(set(deduplicated)) == len(deduplicated)
+
+
+def test_stages_take_odd_and_empty_tables(odd, odd_texts, none):
+    """Every stage by itself on nulls, repeated rows, very long texts and columns with clashing names, and on no row."""
+    counts = []
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(odd.sparkSession, odd, SMALL)
+        rows = found.collect()
+        counts.append(len(rows))
+        assert stage(odd.sparkSession, none, SMALL).collect() == [], name
+        if number < 4:
+            assert found.columns == odd.columns, name
+    assert counts[0] <= len(odd_texts) and counts[2] == len(odd_texts) and counts[3] >= len(odd_texts) and counts[4] >= len(odd_texts)
+    # the least of equal texts stays: null and empty texts, two times "word", two times the same prose
+    assert counts[1] == len({t or "" for t in odd_texts})
