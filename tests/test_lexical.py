@@ -70,6 +70,28 @@ def test_scopes_have_their_own_statistics(spark):
         assert [r.chunk_id for r in found if r.query_id == query_id] == want
 
 
+@pytest.mark.parametrize("common_df", [0, 3, 12])
+def test_many_queries_share_their_common_terms(spark, common_df):
+    rows = corpus()
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, document_id string, text string")
+    queries = spark.createDataFrame(QUERIES, "query_id bigint, query_text string")
+    for k in (1, 3):
+        found = lexical.search(chunks, queries, k=k, max_query_terms=1, common_df=common_df)
+        whole = lexical.search(chunks, queries, k=k).select(*found.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_a_common_term_is_not_joined_once_a_query(spark):
+    rows = [(i, "shared " + ("tail " * (i % 4)) + f"own-{i}") for i in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, text string")
+    queries = spark.createDataFrame([(i, f"shared own-{i}") for i in range(300)], "query_id bigint, query_text string")
+    weighed = lexical._weigh(chunks, queries, lexical.Bm25(), None, None, "text", 1)
+    pairs = lexical._contenders(weighed, lexical.Bm25(), 2, 50)
+    assert pairs.count() <= 300 * 3  # all pairs are 90,000
+    best = {r.query_id: r.chunk_id for r in lexical.top_k(pairs, 1).collect()}
+    assert best == {i: i for i in range(300)}
+
+
 def test_min_score_and_arguments(spark):
     chunks = spark.createDataFrame(corpus(), "chunk_id bigint, document_id string, text string")
     queries = spark.createDataFrame(QUERIES, "query_id bigint, query_text string")
