@@ -92,6 +92,17 @@ def test_a_common_term_is_not_joined_once_a_query(spark):
     assert best == {i: i for i in range(300)}
 
 
+def test_pairs_are_scored_where_their_chunk_is(spark):
+    chunks = spark.createDataFrame(corpus(), "chunk_id bigint, document_id string, text string")
+    queries = spark.createDataFrame(QUERIES, "query_id bigint, query_text string")
+    pairs = lexical.score(chunks, queries).pairs
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("chunk_id" in line for line in dealt)
+    assert not any("query_id" in line and "chunk_id" in line for line in dealt)
+    assert not any("term" in line and "chunk_id" in line for line in dealt)
+
+
 def test_min_score_and_arguments(spark):
     chunks = spark.createDataFrame(corpus(), "chunk_id bigint, document_id string, text string")
     queries = spark.createDataFrame(QUERIES, "query_id bigint, query_text string")
