@@ -29,6 +29,8 @@ SHAPE_BUCKETS, BUCKETS = 1 << 16, 1 << 18
 TRAIN_ROWS = 16_000
 #: Bytes of text that a shard learns from, about; bytes whose n-grams are held at once.
 SHARD_BYTES, PORTION_BYTES, EPOCHS = 6_000_000, 500_000, 5
+#: Bytes of text that are scored at once; a worker holds several numbers for each of their words.
+SCORE_BYTES = 1_000_000
 ALPHA, BETA, L1, L2 = 0.5, 0.05, 0.002, 0.0
 #: Texts up to this score are taken as low quality.
 THRESHOLD = 0.3
@@ -156,7 +158,7 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
     found = common.free_names(docs, "score_found")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, size=SCORE_BYTES):
             values = pa.array(scores(small, batch["text"]))
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), values], [*keep, found])
 

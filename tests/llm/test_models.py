@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from evidencelake.llm import language, quality
+from evidencelake.llm import common, language, quality
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -64,3 +65,12 @@ def test_temperature_flattens_overconfident_logits():
     logits[np.arange(4000), np.where(wrong, 1 - labels, labels)] = 20.0
     calibrated = language._temperature(logits, labels)
     assert abs(1 / (1 + np.exp(-20 / calibrated)) - 0.8) < 0.02
+
+
+def test_scores_do_not_depend_on_the_slices():
+    texts = pa.array([f"word{i % 7} and {i} others! " * (1 + i % 40) for i in range(300)] + [None, ""])
+    batch = pa.record_batch({"text": texts})
+    pieces = list(common.slices(iter([batch]), size=2_000))
+    assert len(pieces) > 20 and sum(p.num_rows for p in pieces) == len(texts)
+    weights = np.random.default_rng(3).normal(size=quality.BUCKETS + 1).astype(np.float32)
+    assert np.concatenate([quality.scores(weights, p["text"]) for p in pieces]).tolist() == quality.scores(weights, texts).tolist()
