@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidencelake.functions import text
 from evidencelake.operators import confidence, lexical
@@ -92,6 +93,16 @@ def test_a_common_term_is_not_joined_once_a_query(spark):
     assert best == {i: i for i in range(300)}
 
 
+def test_lengths_of_all_chunks_are_no_term_of_one_task(spark):
+    chunks = spark.createDataFrame([(i, "a b" if i % 2 else "c d e") for i in range(40)] + [(99, "")], "chunk_id bigint, text string")
+    queries = spark.createDataFrame([(1, "a c"), (2, "e x")], "query_id bigint, query_text string")
+    few, many = (lexical._weigh(chunks, queries, lexical.Bm25(), None, None, "text", most) for most in (100, 1))
+    assert few.small and not many.small
+    assert many.counts.where(F.col("term").startswith("\0")).count() == 0
+    facts = lambda weighed: sorted((r.term, r.df, round(r.average, 9), round(r.idf, 9), r.rare) for r in weighed.frequency.collect())
+    assert facts(many) == facts(few) and len(facts(many)) == 3
+
+
 def test_pairs_are_scored_where_their_chunk_is(spark):
     chunks = spark.createDataFrame(corpus(), "chunk_id bigint, document_id string, text string")
     queries = spark.createDataFrame(QUERIES, "query_id bigint, query_text string")
