@@ -9,6 +9,7 @@ from evidencelake.functions import hashing
 from evidencelake.operators import metrics, rules
 from evidencelake.plans import inputs
 from evidencelake.plans.registry import query
+from evidencelake.session import ensure_checkpoint_dir
 
 
 def rule_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,7 +175,8 @@ def rule_sets(spark: SparkSession, folder: str) -> DataFrame:
 def rule_admission(spark: SparkSession, folder: str) -> DataFrame:
     """Reviews cover most redundancies; some point at conflicts and are stale."""
     sets = rule_sets(spark, folder)
-    found = rules.overlaps(sets, ["rule_set"])
+    ensure_checkpoint_dir(spark)
+    found = rules.overlaps(sets, ["rule_set"]).checkpoint()  # read by findings and reviews
     k = F.split_part("first_version", F.lit("-"), F.lit(2)).cast("bigint")
     reviewed = found.where(
         ((F.col("code") == "redundant_overlap") & (k % 3 != 0))
@@ -268,7 +270,8 @@ DIGEST_SQL = """sha256(concat_ws(chr(0), rule_id, version, subject, action, deci
 )
 def rule_publication_status(spark: SparkSession, folder: str) -> DataFrame:
     current, _, pending = publication_inputs(spark, folder)
-    found = rules.overlaps(current, ["rule_set"])
+    ensure_checkpoint_dir(spark)
+    found = rules.overlaps(current, ["rule_set"]).checkpoint()
     admissions = rules.admit(current, found, found.limit(0), "rule_set")
     return rules.publish(admissions, current, pending, "rule_set").na.fill("", ["publication_id"])
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,33 @@ def test_overlaps_equal_all_pairs(spark, part_rows):
     assert {(r.code, r.first_version, r.second_version) for r in got} == brute_overlaps(rows)
 
 
+@pytest.mark.parametrize("few_rules", [1, 3, 100])
+def test_small_scopes_paired_rule_by_rule_equal_all_pairs(spark, few_rules):
+    draw = random.Random(9)
+    rows = []
+    for i in range(200):
+        start = dt.date(2024, 1, 1) + dt.timedelta(days=draw.randrange(300))
+        conditions = {k: draw.choice("xy") for k in "ab" if draw.random() < 0.5}
+        until = None if draw.random() < 0.3 else start + dt.timedelta(days=draw.randrange(200))
+        rows.append((f"r{i}", 1, f"s{draw.randrange(60)}", "act", draw.choice(["allow", "deny"]), 0, conditions, start, until))
+    got = rules.overlaps(table(spark, rows), few_rules=few_rules).collect()
+    assert len(got) == len(set(got))
+    assert {(r.code, r.first_version, r.second_version) for r in got} == brute_overlaps(rows)
+
+
+def test_small_scopes_are_not_repeated_for_every_month(spark):
+    """Two rules a scope, valid for ten thousand years: 240,000 rows a scope if they were cut into months and slots."""
+    days = [F.expr("date '0001-01-01'"), F.expr("date '9999-12-01'")]
+    pairs = spark.range(5_000).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("v")).select(
+        F.concat(F.lit("r"), "id", F.lit("-"), "v").alias("rule_id"), F.lit(1).alias("version"), F.concat(F.lit("s"), "id").alias("subject"),
+        F.lit("a").alias("action"), F.lit("allow").alias("decision"), F.lit(0).alias("priority"), F.expr("cast(map() as map<string,string>)").alias("conditions"),
+        F.when(F.col("v") == 0, days[0]).otherwise(days[1]).alias("effective_from"), F.lit(None).cast("date").alias("effective_until"),
+    )
+    began = time.monotonic()
+    assert rules.overlaps(pairs).count() == 5_000
+    assert time.monotonic() - began < 60
+
+
 def test_a_scope_of_a_hundred_thousand_rules(spark):
     """All valid at once; the condition that tells them apart is the index, so no pair is formed for nothing."""
     many = spark.range(100_000).select(
