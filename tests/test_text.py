@@ -26,6 +26,18 @@ def test_fold_matches_the_unicode_definition(spark):
     assert column(spark, text.fold) == [unicode_fold(s) for s in SAMPLES]
 
 
+def test_sharp_s_and_marked_rows_fold_like_the_rest(spark):
+    rows = ["Straße ẞ", "große ﬁrma ½", "ß", "a\ufdd0b é", "\ufdd0", "ß\ufdd0ﬀÉ"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string")
+    assert [r[0] for r in df.select("i", text.fold(F.col("s")).alias("f")).orderBy("i").select("f").collect()] == [unicode_fold(s) for s in rows]
+
+
+def test_a_text_without_several_letter_signs_is_translated_once(spark):
+    """Such texts are told from others by the translated text itself; a second translation is a look-up a character."""
+    plan = spark.createDataFrame([("é",)], "s string").select(text.fold(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(translate(" in plan and "length(translate(" not in plan
+
+
 def test_every_foldable_character_inside_a_word(spark):
     wide = [c for c in map(chr, range(0x80, 0x20000)) if unicodedata.decomposition(c) and not 0xAC00 <= ord(c) < 0xD7A4 and not 0xF900 <= ord(c) < 0xFB00]
     df = spark.createDataFrame([(c, f"a{c}b1") for c in wide], "c string, s string")
