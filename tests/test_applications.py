@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.operators import application, chains, evidence, graph, vector_cache
-from evidencelake.plans import applications
+from evidencelake.plans import answering, applications
 
 CONFIG = {"model": "m", "revision": "1", "strategy": "s"}
 
@@ -153,3 +153,15 @@ def test_a_hub_is_searched_once(spark):
     requests = spark.range(3000).select(F.col("id").alias("request_id"), F.concat(F.lit("a"), "id").alias("start_id"), F.concat(F.lit("b"), (F.lit(2999) - F.col("id")).cast("string")).alias("target_id"))
     got = graph.shortest_paths(requests, frame)
     assert got.groupBy("hops").count().collect()[0] == (2, 3000)
+
+
+def test_texts_of_evidence_are_not_shuffled(spark):
+    """A few ranked rows go to the texts, whatever the size of the documents; only these rows look up their labels."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = answering.evidence_bundles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [line for line in plan.splitlines() if "SortMergeJoin [chunk_id" in line and "Inner" in line]
+    assert [line for line in plan.splitlines() if "BroadcastHashJoin [chunk_id" in line and "Inner" in line]
