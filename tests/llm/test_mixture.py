@@ -126,6 +126,21 @@ def test_bytes_after_a_beginning_add_up():
     assert all(whole < first[b] for whole, b in zip(one, first, strict=True))
 
 
+def test_all_rare_words_fit_the_weights_of_spelling(make, monkeypatch):
+    """A task of more than 500 rare words, and shards of fewer words than there are: none is left out, none comes twice."""
+    common.prepare((docs := make([" ".join(f"rare{i}" for i in range(1_200)), "rare1 again again"]).coalesce(1)).sparkSession)
+    blocks = mixture.in_blocks(docs, F.lit(False)).cache()
+    wanted = sorted([*(f"rare{i}" for i in range(1_200) if i != 1)])
+    assert sorted(bytes(r["data"]).decode() for r in blocks.filter("kind = 4").collect()) == wanted
+    bits = 8 * sum(len(w) + 1 for w in wanted)
+    monkeypatch.setattr(mixture, "SPELL_WORDS", 100)
+    for spread in (blocks, blocks.unionByName(blocks.filter("kind = 4"))):
+        assert mixture.speller(spread)().mixer.seen.sum() == pytest.approx(bits)
+    monkeypatch.undo()
+    alone = mixture.speller(blocks)().mixer
+    assert alone.seen.sum() == pytest.approx(bits)
+
+
 def test_context_is_the_leading_short_word():
     texts = ["a long b word b a a end", "", "none of"]
     offsets, codes, words = common.split_words(pa.array(texts))
