@@ -53,20 +53,16 @@ QUERY_KEY = ["subject", "action", "reference_date", "status_attribute", "tier_at
 
 
 def rule_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Distinct questions of all line items with the number of lines asking."""
+    """Questions of all line items; equal ones are one question."""
     lines = inputs.table(spark, folder, "lineitem")
     tier = F.element_at(F.array(*[F.lit(t) for t in TIERS]), (F.col("l_linenumber") % 6 + 1).cast("int"))
-    asked = lines.select(
+    return lines.select(
         F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("subject"),
         F.col("l_returnflag").alias("action"),
         F.to_date("l_shipdate").alias("reference_date"),
         F.col("l_linestatus").alias("status_attribute"),
         tier.alias("tier_attribute"),
     )
-    return asked.groupBy(*QUERY_KEY).agg(F.count(F.lit(1)).cast("bigint").alias("lines")).withColumn(
-        "attributes",
-        F.create_map(F.lit("status"), F.col("status_attribute"), F.lit("tier"), F.col("tier_attribute")),
-    )
 
 
 RESOLVED_SQL = f"""{RULES_SQL},
@@ -86,7 +82,8 @@ resolved AS (SELECT subject, action, reference_date, status_attribute, tier_attr
 
 
 def resolved_queries(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.resolve(rule_table(spark, folder), rule_queries(spark, folder), QUERY_KEY)
+    attributes = F.create_map(F.lit("status"), F.col("status_attribute"), F.lit("tier"), F.col("tier_attribute"))
+    return rules.resolve(rule_table(spark, folder), rule_queries(spark, folder), QUERY_KEY, attributes=attributes)
 
 
 @query(

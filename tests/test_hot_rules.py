@@ -98,6 +98,62 @@ def test_one_hot_subject_is_resolved_like_any_other(spark, part_rows):
     assert {r.status for r in got if r.subject == "other"} == {"no_match"}
 
 
+def resolved(spark, rows, queries, **how):
+    key = ["subject", "action", "reference_date", "a"]
+    asked = spark.createDataFrame(queries, "subject string, action string, reference_date date, a string")
+    attributes = F.when(F.col("a").isNotNull(), F.create_map(F.lit("a"), F.col("a"))).otherwise(F.create_map().cast("map<string,string>"))
+    got = rules.resolve(table(spark, rows), asked, key, attributes=attributes, **how).collect()
+    each = rules.resolve(table(spark, rows), asked.distinct().withColumn("attributes", attributes), key, **how).collect()
+    assert sorted(map(str, got)) == sorted(map(str, each))
+    assert len(got) == len(set(queries))
+    return {tuple(r[:4]): (r.status, r.decision, r.matched_rule_versions) for r in got}
+
+
+def brute_resolution(rows, query):
+    hits = [r for r in rows if r[2:4] == query[:2] and query[2] and r[7] <= query[2] <= (r[8] or dt.date.max) and all({"a": query[3]}.get(k) == v for k, v in r[6].items())]
+    top = sorted(r for r in hits if r[5] == max(h[5] for h in hits))
+    decisions = {r[4] for r in top}
+    return ("applied" if len(decisions) == 1 else "review") if top else "no_match", decisions.pop() if len(decisions) == 1 else None, [f"{r[0]}@{r[1]}" for r in top]
+
+
+@pytest.mark.parametrize("how", [{}, {"small_rules": 0}, {"small_rules": 0, "part_rows": 3}, {"few_rules": 12}, {"few_rules": 12, "small_rules": 0, "part_rows": 5}, {"few_rules": 0}])
+def test_all_ways_of_resolution_equal_brute_force(spark, how):
+    """Repeated and null questions, a hot subject, sets of few and of many rules, rules that come twice."""
+    draw, day = random.Random(10), dt.date(2024, 1, 1)
+    rows = []
+    for i in range(70):
+        start = day + dt.timedelta(days=draw.randrange(200))
+        until = None if draw.random() < 0.3 else start + dt.timedelta(days=draw.randrange(120))
+        rows.append((f"r{i:02}", i % 3, draw.choice(["s", "t", "hot", "hot", "hot"]), draw.choice("ab"), draw.choice(["allow", "deny"]), draw.randrange(2), {"a": draw.choice("xy")} if draw.random() < 0.5 else {}, start, until))
+    rows += rows[:9]
+    queries = [(draw.choice(["hot", "hot", "s", "t", "none", None]), draw.choice(["a", "b", None]), draw.choice([None, *[day + dt.timedelta(days=draw.randrange(300))] * 9]), draw.choice(["x", "y", None])) for _ in range(300)]
+    got = resolved(spark, rows, queries + queries[:50], **how)
+    assert got == {q: brute_resolution(rows, q) for q in queries}
+
+
+def test_rules_are_not_repeated_for_every_month_of_the_questions(spark):
+    """Two rules a subject, valid for ten thousand years: 240,000 rows a subject if they were cut into months."""
+    given = spark.range(5_000).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("v")).select(
+        F.concat(F.lit("r"), "id", F.lit("-"), "v").alias("rule_id"), F.lit(1).alias("version"), F.concat(F.lit("s"), "id").alias("subject"),
+        F.lit("a").alias("action"), F.lit("allow").alias("decision"), F.lit(0).alias("priority"), F.expr("cast(map() as map<string,string>)").alias("conditions"),
+        F.expr("date '0001-01-01'").alias("effective_from"), F.lit(None).cast("date").alias("effective_until"),
+    )
+    asked = spark.range(10_000).select(
+        F.concat(F.lit("s"), F.col("id") % 5_000).alias("subject"), F.lit("a").alias("action"), F.expr("date '9999-12-01'").alias("reference_date"), "id",
+        F.expr("cast(map() as map<string,string>)").alias("attributes"),
+    )
+    began = time.monotonic()
+    got = rules.resolve(given, asked, ["subject", "action", "reference_date", "id"], small_rules=0)
+    assert got.where((F.col("status") == "applied") & (F.size("matched_rule_versions") == 2)).count() == 10_000
+    assert time.monotonic() - began < 60
+
+
+def test_hot_parts_are_those_of_an_exact_count(spark):
+    rows = spark.range(1_000).select(F.when(F.col("id") < 300, "hot").when(F.col("id") < 500, F.lit(None)).otherwise(F.col("id").cast("string")).alias("k"))
+    assert {(r.k, r._parts) for r in sizing.hot_parts(rows, ["k"], 90).collect()} == {("hot", 4), (None, 3)}
+    assert sizing.hot_parts(rows, ["k"], 300) is None
+
+
 def test_only_hot_keys_are_dealt(spark):
     asked = spark.range(100).select(F.when(F.col("id") < 95, "hot").otherwise("cold").alias("k"), "id")
     offered = spark.createDataFrame([("hot", 1), ("cold", 2), ("unasked", 3)], "k string, v int")
